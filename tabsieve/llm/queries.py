@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .repeated_strings import op5_suffix_array_dedup
 from .repeated_windows import op2_substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
