@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .ngram_join import op9_ngram_jaccard_join
 from .repeated_strings import op5_suffix_array_dedup
 from .repeated_windows import op2_substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
 
