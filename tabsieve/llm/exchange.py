@@ -55,6 +55,16 @@ def texts_of(table: pa.Table, column: str = "text_") -> tuple[np.ndarray, np.nda
     return data, off - off[0]
 
 
+def blocks(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows that hold about `most` bytes of text each, one row at least."""
+    out, a, n = [], 0, len(offsets) - 1
+    while a < n:
+        z = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1))
+        out.append((a, z))
+        a = z
+    return out
+
+
 def by_id(table: pa.Table) -> pa.Table:
     """Rows by ascending id, null ids last; equal ids keep their order."""
     ids = table.column("id_").combine_chunks()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import texts_of
+from .exchange import blocks, texts_of
 from .hashing import ALNUM_OR_HIGH, LOWER, NOT_SPACE, Rolling, byte_values, mix, words_of
 
 BITS = 18
@@ -136,7 +136,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, te
         for b in batches:
             t = pa.table({"text_": b.column(b.schema.get_field_index(text_col)).cast(pa.string())})
             parts = []
-            for a, z in _blocks(t):
+            for a, z in blocks(texts_of(t)[1], 1_000_000):
                 part = t.slice(a, z - a)
                 who, at, _ = features(part, bits)
                 n = z - a
@@ -151,17 +151,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, te
     return docs.mapInArrow(step, shape)
 
 
-def _blocks(t: pa.Table, most: int = 1_000_000) -> list[tuple[int, int]]:
-    """Row ranges of about a megabyte of text each."""
-    _, offsets = texts_of(t)
-    out, a = [], 0
-    while a < len(t):
-        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
-        out.append((a, z))
-        a = z
-    return out
-
-
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted for every document; score is of the text alone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

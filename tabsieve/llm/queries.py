@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ngram_join import op9_ngram_jaccard_join
+from .packing import op8_packing
 from .quality import op10_quality_classifier
 from .repeated_strings import op5_suffix_array_dedup
 from .repeated_windows import op2_substring_dedup
@@ -10,6 +11,7 @@ from .repeated_windows import op2_substring_dedup
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op8_packing": op8_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
