@@ -7,10 +7,12 @@ from .packing import op8_packing
 from .quality import op10_quality_classifier
 from .repeated_strings import op5_suffix_array_dedup
 from .repeated_windows import op2_substring_dedup
+from .warc import op7_warc
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
