@@ -7,9 +7,11 @@ from .packing import op8_packing
 from .quality import op10_quality_classifier
 from .repeated_strings import op5_suffix_array_dedup
 from .repeated_windows import op2_substring_dedup
+from .vector_links import op1_embedding_near_dedup
 from .warc import op7_warc
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op7_warc": op7_warc,
