@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .decontamination import op6_benchmark_decontamination
+from .licenses import op3_license_scan
 from .ngram_join import op9_ngram_jaccard_join
 from .packing import op8_packing
 from .quality import op10_quality_classifier
+from .quotes import op4_quotation_linking
 from .repeated_strings import op5_suffix_array_dedup
 from .repeated_windows import op2_substring_dedup
 from .vector_links import op1_embedding_near_dedup
@@ -14,6 +17,9 @@ QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op3_license_scan": op3_license_scan,
+    "op4_quotation_linking": op4_quotation_linking,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
