@@ -197,8 +197,8 @@ def _merge(table: pa.Table) -> pa.Table:
     return X.messages(out)
 
 
-def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, carry: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary), removed_spans [(first, after last)], carry_.
+def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary; with as_text a string, without characters that a cut has broken), removed_spans [(first, after last)], carry_.
 
     Texts are taken as UTF-8 bytes (null: empty).  A byte goes if a string of `length` bytes that covers it also
     starts anywhere else, in the same document or another; overlaps count, and strings are judged on the input.
@@ -261,7 +261,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     found = found.groupBy("chunk_", F.when(F.col("chunk_") >= 0, F.col("bucket_")).alias("own_")).applyInArrow(lambda _, t: _merge(t), X.MESSAGE)
 
     kind = next((f.dataType for f in texts.schema.fields if f.name == "carry_"), None)
-    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed_spans array<struct<start:long,end:long>>" + (f", carry_ {kind.simpleString()}" if kind else "")
+    shape = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, removed_spans array<struct<start:long,end:long>>" + (f", carry_ {kind.simpleString()}" if kind else "")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(table, got):
@@ -301,7 +301,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
                 spans.append([])
                 kept.append(raw[a:b])
             removed.append(int(g.sum()))
-        out = {"doc_id": table.column("id_"), "n_bytes": pa.array(np.diff(c.offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(s) for s in spans], pa.int64()), "kept": pa.array(kept, pa.binary()), "removed_spans": pa.array(spans, span)}
+        out = {"doc_id": table.column("id_"), "n_bytes": pa.array(np.diff(c.offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(s) for s in spans], pa.int64()), "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), "removed_spans": pa.array(spans, span)}
         if kind:
             out["carry_"] = table.column("carry_")
         return pa.table(out)
