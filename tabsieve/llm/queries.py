@@ -26,4 +26,39 @@ QUERIES = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SPACE = r"[\x20\x09-\x0D]+"
+
+#: Smallest node reachable over links (a, b), for each node of a table nodes(id).
+_REACH = """
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT reach.id, sides.b FROM reach JOIN sides ON sides.a = reach.other),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+nodes AS (SELECT vec_id AS id FROM embeddings),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.vec_id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.9), {_REACH},
+n AS (SELECT a AS id, count(*) AS n FROM sides GROUP BY a)
+SELECT least.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, component_id = least.id AS kept FROM least LEFT JOIN n ON n.id = least.id""",
+    "op2_substring_dedup": f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM windows) WHERE rn > 1),
+marked AS (SELECT words.doc_id, j, word, max((later.i IS NOT NULL)::INTEGER) OVER (PARTITION BY words.doc_id ORDER BY j ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM words LEFT JOIN later ON later.doc_id = words.doc_id AND later.i = words.j),
+kept AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (gone = 0), '') AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON f.d = p.d""",
+    "op9_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5) UNION SELECT doc_id, hash(array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+nodes AS (SELECT doc_id AS id FROM documents),
+common AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM sh p JOIN sh q ON p.s = q.s AND p.doc_id < q.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)), {_REACH}
+SELECT id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM least LEFT JOIN n ON n.doc_id = least.id""",
+}

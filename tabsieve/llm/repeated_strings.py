@@ -234,7 +234,8 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
         raw = c.data.tobytes()
         out = [(r[0], -1 - r[1], r[2]) for r in X.received(got)]
         cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.empty(0, int)
-        for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
+        edges = np.append(cuts, len(shard))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
             known: dict[bytes, int] = {}
             count: list[int] = []
             wide: list[bool] = []

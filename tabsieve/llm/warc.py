@@ -41,7 +41,7 @@ def record(page_id, url: str, payload: bytes, digest: str, refers_to, date: str)
     block = http + (payload if refers_to is None else b"")
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>", f"WARC-Date: {date}"]
     head += [f"WARC-Page-ID: {page_id}"] * (page_id is not None)
-    head += ["WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A")] * bool(url)
+    head += ["WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A")] * bool(url)
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}:{digest}')}>", f"WARC-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {REVISIT_PROFILE}"]
