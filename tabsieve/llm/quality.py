@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +15,8 @@ from .hashing import ALNUM_OR_HIGH, LOWER, NOT_SPACE, Rolling, byte_values, mix,
 BITS = 18
 #: Labelled rows that the classifier is fitted on at most, taken by the order of a hash of their ids.
 MAX_TRAIN = 20_000
+#: Text whose features are held at once.
+BLOCK_BYTES = 1_000_000
 _MARK = np.uint64(0xA24BAED4963EE407)
 
 
@@ -55,25 +59,27 @@ def _upper() -> np.ndarray:
     return t
 
 
-def vectors(table: pa.Table, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each document's distinct feature indices and their weights, sqrt(count), scaled to length one."""
+def counts(table: pa.Table, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each document's distinct feature indices and how often each occurs."""
     who, at, _ = features(table, bits)
     key, count = np.unique((who << bits) | at, return_counts=True)
     cuts = np.searchsorted(key >> bits, np.arange(len(table) + 1))
-    value = np.sqrt(count)
-    out = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        v = value[a:b]
-        out.append((key[a:b] & ((1 << bits) - 1), v / np.sqrt((v * v).sum()) if b > a else v))
-    return out
+    return [(key[a:b] & ((1 << bits) - 1), count[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def weights_of(count: np.ndarray) -> np.ndarray:
+    """sqrt(count), scaled to length one."""
+    return np.sqrt(count / max(count.sum(), 1))
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> tuple[np.ndarray, float]:
-    """Weights and bias of per-coordinate follow-the-proximally-regularised-leader (McMahan et al., 2013)."""
+def ftrl(rows: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, int]]], bits: int = BITS, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> tuple[np.ndarray, float]:
+    """Weights and bias of per-coordinate follow-the-proximally-regularised-leader (McMahan et al., 2013).
+
+    rows() goes through the examples (indices, values, label) once more at each call.
+    """
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     bias = size - 1
-    rows = [(np.append(i, bias), np.append(v, 1.0)) for i, v in rows]
 
     def weights(i):
         zi = z[i]
@@ -81,7 +87,8 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: in
         return np.where(np.abs(zi) <= l1, 0.0, w)
 
     for _ in range(epochs):
-        for (i, v), y in zip(rows, labels, strict=True):
+        for i, v, y in rows():
+            i, v = np.append(i, bias), np.append(v, 1.0)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ v, -35, 35)))
             g = (p - y) * v
@@ -106,19 +113,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: in
 
     def vectorise(batches):
         for b in batches:
-            t = pa.Table.from_batches([b])
-            got = vectors(t, bits)
-            yield pa.record_batch({"o": t.column("o_").combine_chunks(), "id": t.column("id_").combine_chunks().cast(pa.int64()), "y": t.column("y_").combine_chunks(), "i": pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), "v": pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())})
-
-    def learn(table):
-        o = np.asarray(table.column("o").combine_chunks())
-        order = np.lexsort((np.asarray(table.column("id").combine_chunks()), o))
-        i, v = table.column("i").combine_chunks(), table.column("v").combine_chunks()
-        data = [(np.frombuffer(i[int(k)].as_py(), "<i4").astype(np.int64), np.frombuffer(v[int(k)].as_py(), "<f4").astype(float)) for k in order]
-        w, bias = ftrl(data, np.asarray(table.column("y").combine_chunks())[order], bits)
-        return pa.table({"w": [w.astype("<f8").tobytes()], "bias": [bias]}, schema=pa.schema([("w", pa.binary()), ("bias", pa.float64())]))
-
-    got = rows.mapInArrow(vectorise, "o long, id long, y int, i binary, v binary").groupBy().applyInArrow(learn, "w binary, bias double").collect()
+            whole = pa.Table.from_batches([b])
+            for a, z in blocks(texts_of(whole)[1], BLOCK_BYTES):
+                t = whole.slice(a, z - a)
+                got = counts(t, bits)
+                yield pa.record_batch({"o": t.column("o_").combine_chunks(), "id": t.column("id_").combine_chunks().cast(pa.int64()), "y": t.column("y_").combine_chunks(), "i": pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), "n": pa.array([n.astype("<u4").tobytes() for _, n in got], pa.binary())})
+
+    def learn(batches):
+        held = [b for b in batches if b.num_rows]  # max_train rows at most, as they came
+        if not held:
+            return
+
+        def rows():
+            for b in held:
+                i, n, y = (b.column(b.schema.get_field_index(c)) for c in "iny")
+                for k in range(b.num_rows):
+                    count = np.frombuffer(n[k].as_buffer(), "<u4")
+                    yield np.frombuffer(i[k].as_buffer(), "<i4"), weights_of(count), y[k].as_py()
+
+        w, bias = ftrl(rows, bits)
+        yield pa.record_batch([pa.array([w.astype("<f8").tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["w", "bias"])
+
+    got = rows.mapInArrow(vectorise, "o long, id long, y int, i binary, n binary").repartition(1).sortWithinPartitions("o", "id").mapInArrow(learn, "w binary, bias double").collect()
     if not got:
         return np.zeros(1 << bits), 0.0
     return np.frombuffer(got[0][0], "<f8"), got[0][1]
@@ -136,7 +152,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, te
         for b in batches:
             t = pa.table({"text_": b.column(b.schema.get_field_index(text_col)).cast(pa.string())})
             parts = []
-            for a, z in blocks(texts_of(t)[1], 1_000_000):
+            for a, z in blocks(texts_of(t)[1], BLOCK_BYTES):
                 part = t.slice(a, z - a)
                 who, at, _ = features(part, bits)
                 n = z - a
