@@ -9,6 +9,7 @@ all its passes; a lost executor costs the recomputation of its partitions only.
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2_000_000
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def text_bytes(df: DataFrame, column: str) -> int:
@@ -104,13 +106,21 @@ def answered(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(r[2] for r in got), dtype=np.uint8)
 
 
+def tidy(result=None):
+    """Gives freed memory back to the system, for the task that runs in this worker next; returns its argument."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+    return result
+
+
 def exchange(sent: DataFrame, reduce, shape: str = MESSAGE) -> DataFrame:
     """Groups messages by hash range; reduce gets and returns Arrow tables."""
-    return sent.groupBy("bucket_").applyInArrow(reduce, shape)
+    return sent.groupBy("bucket_").applyInArrow(lambda t: tidy(reduce(t)), shape)
 
 
 def per_chunk(texts: DataFrame, step, shape: str, answers: DataFrame | None = None) -> DataFrame:
     """Runs step(texts, answers) for each chunk."""
     if answers is None:
-        return texts.groupBy("chunk_").applyInArrow(lambda t: step(by_id(t), None), shape)
-    return texts.groupBy("chunk_").cogroup(answers.groupBy("chunk_")).applyInArrow(lambda t, a: step(by_id(t), a), shape)
+        return texts.groupBy("chunk_").applyInArrow(lambda t: tidy(step(by_id(t), None)), shape)
+    return texts.groupBy("chunk_").cogroup(answers.groupBy("chunk_")).applyInArrow(lambda t, a: tidy(step(by_id(t), a)), shape)

@@ -6,6 +6,8 @@ import numpy as np
 
 U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Entries of power tables that stay in memory, for each base.
+KEPT_POWERS = 2_500_000
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -28,7 +30,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, base, dtype=U), np.full(size, inverse, dtype=U)
         up[0] = down[0] = 1
         held = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if size <= 1 << 23:  # tables for unusually long inputs are not kept
+        if size <= KEPT_POWERS:  # tables for longer inputs are not kept
             _POWERS[base] = held
     return held
 

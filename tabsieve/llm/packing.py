@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import saved
-from .exchange import blocks, texts_of
+from .exchange import blocks, texts_of, tidy
 from .hashing import LOWER, NOT_SPACE, Rolling, byte_values, words_of
 
 MAX_LEN = 2048
 END_ID = 1
 #: Texts that are encoded together.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_500_000
 _CACHE: dict[bytes, bytes] = {}
 _LATER: dict[bytes, bytes] = {}
 _TOKENIZERS: dict[str, object] = {}
@@ -71,7 +71,7 @@ def _encode_fresh(words: list[bytes], tok) -> dict[bytes, bytes]:
 
 
 def _ids_of(words: list[bytes], tok) -> list[bytes]:
-    """Ids of distinct words, kept between calls: the first 400,000 words, and 200,000 of later ones at a time."""
+    """Ids of distinct words, kept between calls: the first 400,000 words, and 100,000 of later ones at a time."""
     get, later = _CACHE.get, _LATER.get
     out = [get(w) for w in words]
     missing = {w for w, i in zip(words, out, strict=True) if i is None}
@@ -84,7 +84,7 @@ def _ids_of(words: list[bytes], tok) -> list[bytes]:
     own = {w: i for w in cores if (i := get(w)) is not None or (i := later(w)) is not None}
     own.update(_encode_fresh([w for w in cores if w not in own] + [b".", b","], tok))
     own.update([(w, own[w[:-1]] + own[w[-1:]]) for w in ends])
-    if len(_LATER) > 200_000:
+    if len(_LATER) > 100_000:
         _LATER.clear()
     store = _CACHE if len(_CACHE) < 400_000 else _LATER
     store.update((w, i) for w, i in own.items() if len(w) <= 64)
@@ -129,6 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, id_col: str
             ids_of: list[np.ndarray] = []
             for a, z in blocks(offsets, BLOCK_BYTES):
                 ids_of += encode_texts(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], tokenizer)
+            tidy()
             for doc, own in zip(b.column(0).to_pylist(), ids_of, strict=True):
                 ids = own.tobytes() + end
                 n = len(ids) // 4

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import blocks, texts_of
+from .exchange import blocks, texts_of, tidy
 from .hashing import ALNUM_OR_HIGH, LOWER, NOT_SPACE, Rolling, byte_values, mix, words_of
 
 BITS = 18
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, te
                 top = np.bincount(d, weights=np.sqrt(count) * w[i], minlength=n)
                 size = np.sqrt(np.bincount(d, weights=count, minlength=n))
                 parts.append(1 / (1 + np.exp(-np.clip(top / np.maximum(size, 1e-9) + bias, -35, 35))))
-            s = np.concatenate(parts) if parts else np.empty(0)
+            s = tidy(np.concatenate(parts) if parts else np.empty(0))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score_"])
 
     return docs.mapInArrow(step, shape)
