@@ -102,10 +102,10 @@ def conditional_swap(df: DataFrame, key: str, columns: list[str], level: float,
 
 def detection_metrics(df: DataFrame, flag: str, score: str, truth: str) -> DataFrame:
     """(precision, recall, f1, roc_auc, average_precision) of flags and scores against the truth (booleans)."""
-    n = df.groupBy(score).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("q"), F.count_if(F.col(flag) & F.col(truth)).alias("tp"), F.count_if(F.col(flag)).alias("f"))
+    n = df.groupBy(F.col(score).alias("s_")).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("q"), F.count_if(F.col(flag) & F.col(truth)).alias("tp"), F.count_if(F.col(flag)).alias("f"))
     all_ = Window.partitionBy(F.lit(0))
-    down = all_.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    up = all_.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    down = all_.orderBy(F.desc("s_")).rowsBetween(Window.unboundedPreceding, 0)
+    up = all_.orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)
     n = n.withColumn("cp", F.sum("p").over(down)).withColumn("cn", F.sum(F.col("p") + F.col("q")).over(down)).withColumn("below", F.coalesce(F.sum("q").over(up), F.lit(0)))
     tp, f, p, q = (F.sum(c) for c in ("tp", "f", "p", "q"))
     safe = lambda a, b: F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
@@ -128,8 +128,8 @@ def identity_error(a: Column, b: Column, total: Column) -> Column:
 
 def cell_bounds(df: DataFrame, hub: str, others: list[str]) -> DataFrame:
     """(hub, n, support, epsilon): rows and distinct contexts of each hub value, and (support / n^2)^(1/4)."""
-    g = df.groupBy(hub).agg(F.count("*").alias("n"), F.count_distinct(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in others])).alias("support"))
-    return g.select(F.col(hub).alias("hub"), "n", "support", F.pow(F.col("support") / (F.col("n").cast("double") * F.col("n")), F.lit(0.25)).alias("epsilon"))
+    g = df.groupBy(F.col(hub).alias("hub")).agg(F.count("*").alias("n"), F.count_distinct(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in others])).alias("support"))
+    return g.select("hub", "n", "support", F.pow(F.col("support") / (F.col("n").cast("double") * F.col("n")), F.lit(0.25)).alias("epsilon"))
 
 
 def representation_drift(df: DataFrame, group: str, flag: str) -> DataFrame:

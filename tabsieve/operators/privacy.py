@@ -48,17 +48,18 @@ def _scales(df: DataFrame, columns: list[str]) -> tuple[dict[str, float], dict[s
     return {c: r[f"m_{c}"] for c in columns}, {c: r[f"s_{c}"] for c in columns}
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+def squared_distance(a: Column, b: Column, dims: int) -> Column:
+    """Written out by component, so that it is generated code."""
+    return reduce(Column.__add__, [(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) * (F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(dims)])
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFrame:
     """(qid, d): distances of each query (qid, x) to its k nearest base vectors, ascending, as an array.
 
     The queries are a sample of bounded size; they are broadcast to the base rows, and only k distances for each query
     and partition are kept.
     """
-    pairs = base.select(F.col("x").alias("y")).crossJoin(F.broadcast(queries)).select("qid", F.sqrt(squared_distance(F.col("x"), F.col("y"))).alias("d"), F.spark_partition_id().alias("p_"))
+    pairs = base.select(F.col("x").alias("y")).crossJoin(F.broadcast(queries)).select("qid", F.sqrt(squared_distance(F.col("x"), F.col("y"), dims)).alias("d"), F.spark_partition_id().alias("p_"))
     w = Window.partitionBy("qid", "p_").orderBy("d")
     few = pairs.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= k)
     return few.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k).alias("d"))
@@ -70,7 +71,7 @@ def membership_distances(members: DataFrame, others: DataFrame, synthetic: DataF
     means, sds = _scales(a.unionByName(b).unionByName(s), columns)
     x = _vector(columns, means, sds).alias("x")
     queries = a.select(F.concat(F.lit("m"), F.col(key)).alias("qid"), x).unionByName(b.select(F.concat(F.lit("h"), F.col(key)).alias("qid"), x))
-    return nearest(queries, s.select(x), 1).select("qid", F.col("qid").startswith("m").alias("member"), F.col("d")[0].alias("d"))
+    return nearest(queries, s.select(x), 1, len(columns)).select("qid", F.col("qid").startswith("m").alias("member"), F.col("d")[0].alias("d"))
 
 
 def membership_inference(members: DataFrame, others: DataFrame, synthetic: DataFrame, columns: list[str], key: str, n: int = 300, seed: int = 43) -> DataFrame:
@@ -108,7 +109,7 @@ def linkability(real: DataFrame, synthetic: DataFrame, columns: list[str], key:
     means, sds = _scales(real, columns)
     x = _vector(columns, means, sds).alias("x")
     q = sample(synthetic, key, n, seed).select(F.col(key).cast("string").alias("qid"), x)
-    d = nearest(q, real.select(x), 2)
+    d = nearest(q, real.select(x), 2, len(columns))
     linked = (F.col("d")[1] > 0) & (F.col("d")[0] / F.when(F.col("d")[1] > 0, F.col("d")[1]) < ratio)
     rate = F.round(F.avg(F.coalesce(linked, F.lit(False)).cast("double")), 4)
     return d.agg(F.count("*").alias("n_attacks"), rate.alias("link_rate")).select("n_attacks", "link_rate", F.round(F.col("link_rate") / 0.5, 4).alias("lift"), risk(F.col("link_rate"), LINK_LIMITS).alias("risk"))

@@ -16,14 +16,14 @@ def itemsets(real: DataFrame, columns: list[str], size: int, least: int) -> Data
 
     Rows are first grouped to distinct combinations; grouping sets then count all column subsets in one pass.
     """
-    base = real.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in columns]).groupBy(*columns).agg(F.count("*").alias("n_"))
+    base = real.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in columns]).groupBy(*columns).agg(F.count("*").alias("rows__"))
     sets = [list(s) for k in range(1, size + 1) for s in combinations(columns, k)]
     base.createOrReplaceTempView("tabsieve_items_")
     quoted = lambda s: ", ".join(f"`{c}`" for c in s)
-    flags = ", ".join(f"grouping(`{c}`) AS `g_{c}`" for c in columns)
-    grouped = real.sparkSession.sql(f"SELECT {quoted(columns)}, {flags}, sum(n_) AS n FROM tabsieve_items_ GROUP BY GROUPING SETS ({', '.join(f'({quoted(s)})' for s in sets)}) HAVING sum(n_) >= {least}")
-    items = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"g_{c}") == 0, F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"))) for c in columns])))
-    return grouped.select(items.alias("items"), F.col("n").cast("long").alias("n"))
+    flags = ", ".join(f"grouping(`{c}`) AS `grouping__{c}`" for c in columns)
+    grouped = real.sparkSession.sql(f"SELECT {quoted(columns)}, {flags}, sum(rows__) AS rows__ FROM tabsieve_items_ GROUP BY GROUPING SETS ({', '.join(f'({quoted(s)})' for s in sets)}) HAVING sum(rows__) >= {least}")
+    items = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"grouping__{c}") == 0, F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"))) for c in columns])))
+    return grouped.select(items.alias("items"), F.col("rows__").cast("long").alias("n"))
 
 
 def mine_rules(real: DataFrame, columns: list[str], min_confidence: float = 0.95, min_support: float = 0.005, max_rules: int = 25, min_lift: float = 1.0, max_antecedents: int = 2) -> DataFrame:
@@ -83,11 +83,12 @@ def top_violated(synthetic: DataFrame, rules: list, most: int = 10) -> DataFrame
 
 def violation_examples(synthetic: DataFrame, rules: list, key: str, each: int = 3, most: int = 20) -> DataFrame:
     """(row_index, antecedent, expected, actual): the first rows by key that break each rule."""
-    broken = check_rules(synthetic, rules).select(key, F.explode("broken_").alias("k"), *[_text(c).alias(f"v_{c}") for c in {r["consequent_feature"] for r in rules}])
-    # The least `each` keys of a rule are found by a partial aggregation, not by sorting all its rows.
-    actual = F.coalesce(*[F.when(F.col("k") == k, F.concat(F.lit(r["consequent_feature"] + "="), F.col(f"v_{r['consequent_feature']}"))) for k, r in enumerate(rules)]) if rules else F.lit(None)
-    part = broken.withColumn("actual", actual).withColumn("p_", F.pmod(F.xxhash64(key), F.lit(64)))
-    w1, w2 = Window.partitionBy("k", "p_").orderBy(key), Window.partitionBy("k").orderBy(key)
+    wanted = sorted({r["consequent_feature"] for r in rules})
+    broken = check_rules(synthetic, rules).select(F.col(key).alias("key_"), F.explode("broken_").alias("rule_"), *[_text(c).alias(f"v_{c}") for c in wanted])
+    # The least `each` keys of a rule are found in parts first, not by sorting all its rows.
+    actual = F.coalesce(*[F.when(F.col("rule_") == k, F.concat(F.lit(r["consequent_feature"] + "="), F.col(f"v_{r['consequent_feature']}"))) for k, r in enumerate(rules)]) if rules else F.lit(None).cast("string")
+    part = broken.select("key_", "rule_", actual.alias("actual"), F.pmod(F.xxhash64("key_"), F.lit(64)).alias("p_"))
+    w1, w2 = Window.partitionBy("rule_", "p_").orderBy("key_"), Window.partitionBy("rule_").orderBy("key_")
     first = part.withColumn("n_", F.row_number().over(w1)).where(F.col("n_") <= each).withColumn("n_", F.row_number().over(w2)).where(F.col("n_") <= each)
-    table = synthetic.sparkSession.createDataFrame([(k, r["antecedent_repr"], f"{r['consequent_feature']}={r['consequent_value']}") for k, r in enumerate(rules)], "k int, antecedent string, expected string")
-    return first.join(F.broadcast(table), "k").orderBy("k", key).limit(most).select(F.col(key).cast("string").alias("row_index"), "antecedent", "expected", "actual")
+    table = synthetic.sparkSession.createDataFrame([(k, r["antecedent_repr"], f"{r['consequent_feature']}={r['consequent_value']}") for k, r in enumerate(rules)], "rule_ int, antecedent string, expected string")
+    return first.join(F.broadcast(table), "rule_").orderBy("rule_", "key_").limit(most).select(F.col("key_").cast("string").alias("row_index"), "antecedent", "expected", "actual")

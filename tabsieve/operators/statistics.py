@@ -58,9 +58,10 @@ def total_variation(stacked: DataFrame, columns: list[str]) -> DataFrame:
 
 def cramers_v(stacked: DataFrame, a: str, b: str) -> DataFrame:
     """(src, v): bias-corrected association of two categorical columns."""
-    o = stacked.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy("src", a, b).agg(F.count("*").alias("o"))
-    o = o.withColumn("ra", F.sum("o").over(Window.partitionBy("src", a))).withColumn("cb", F.sum("o").over(Window.partitionBy("src", b)))
-    g = o.groupBy("src").agg(F.sum("o").cast("double").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb"))).alias("q"), F.count_distinct(a).alias("r"), F.count_distinct(b).alias("k"))
+    x = stacked.select("src", F.col(a).alias("a_"), F.col(b).alias("b_")).where("a_ is not null and b_ is not null")
+    o = x.groupBy("src", "a_", "b_").agg(F.count("*").alias("o"))
+    o = o.withColumn("ra", F.sum("o").over(Window.partitionBy("src", "a_"))).withColumn("cb", F.sum("o").over(Window.partitionBy("src", "b_")))
+    g = o.groupBy("src").agg(F.sum("o").cast("double").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb"))).alias("q"), F.count_distinct("a_").alias("r"), F.count_distinct("b_").alias("k"))
     n1 = F.nullif(F.col("n") - 1, F.lit(0.0))
     phi = F.greatest(F.lit(0.0), F.col("q") - 1 - (F.col("k") - 1) * (F.col("r") - 1) / n1)
     rt, kt = (F.col(c) - (F.col(c) - 1) * (F.col(c) - 1) / n1 for c in "rk")
@@ -70,8 +71,8 @@ def cramers_v(stacked: DataFrame, a: str, b: str) -> DataFrame:
 
 def correlation_ratio(stacked: DataFrame, category: str, number: str) -> DataFrame:
     """(src, v): the square root of the share of variance between categories."""
-    x = stacked.where(F.col(category).isNotNull() & F.col(number).isNotNull())
-    by = x.groupBy("src", category).agg(F.count("*").alias("n"), F.avg(number).alias("m"), F.var_pop(number).alias("w"))
+    x = stacked.select("src", F.col(category).alias("a_"), F.col(number).alias("y_")).where("a_ is not null and y_ is not null")
+    by = x.groupBy("src", "a_").agg(F.count("*").alias("n"), F.avg("y_").alias("m"), F.var_pop("y_").alias("w"))
     mean = by.groupBy("src").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mm"))
     g = by.join(F.broadcast(mean), "src").groupBy("src").agg(F.sum(F.col("n") * (F.col("m") - F.col("mm")) * (F.col("m") - F.col("mm"))).alias("b"), F.sum(F.col("n") * F.col("w")).alias("w"))
     total = F.col("b") + F.col("w")
@@ -92,8 +93,8 @@ def _pearson(g: DataFrame, x: str, y: str) -> DataFrame:
 
 def spearman(stacked: DataFrame, a: str, b: str) -> DataFrame:
     """(src, v): rank correlation with average ranks over rows where both are known; 0 for a constant."""
-    x = stacked.select("src", a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return _pearson(x.join(_ranks(x, a), ["src", a]).join(_ranks(x, b), ["src", b]), f"rank_{a}", f"rank_{b}")
+    x = stacked.select("src", F.col(a).alias("a_"), F.col(b).alias("b_")).where("a_ is not null and b_ is not null")
+    return _pearson(x.join(_ranks(x, "a_"), ["src", "a_"]).join(_ranks(x, "b_"), ["src", "b_"]), "rank_a_", "rank_b_")
 
 
 def associations(stacked: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -158,7 +159,7 @@ def predictive_parity(stacked: DataFrame, numeric: list[str]) -> DataFrame:
 
 def auc(scored: DataFrame, score: str, positive: str) -> DataFrame:
     """(auc): the chance that a positive scores above a negative, ties half; 0.5 if a side is empty."""
-    n = scored.groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = scored.groupBy(F.col(score).alias("s_")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
+    below = F.coalesce(F.sum("q").over(Window.partitionBy(F.lit(0)).orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = n.withColumn("below", below)
     return n.agg(F.coalesce(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / F.nullif(F.sum("p").cast("double") * F.sum("q"), F.lit(0.0)), F.lit(0.5)).alias("auc"))

@@ -37,7 +37,7 @@ def profile(df: DataFrame) -> DataFrame:
 
 def duplicates(df: DataFrame) -> DataFrame:
     """(n_duplicates): rows beyond the first of each distinct one."""
-    return df.groupBy(*df.columns).agg((F.count("*") - 1).alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("n_duplicates"))
+    return df.groupBy(*df.columns).agg((F.count("*") - 1).alias("extra__")).agg(F.coalesce(F.sum("extra__"), F.lit(0)).cast("long").alias("n_duplicates"))
 
 
 def validate(df: DataFrame, min_rows: int = 50, min_cols: int = 1, required_columns: list[str] | None = None, expected_dtypes: dict[str, str] | None = None, max_null: float = 0.3, max_cardinality: int = 500, max_duplicate: float = 0.05) -> ValidationResult:
