@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, binning, coverage, downstream, experiments, frames, generate, privacy, rules, statistics, validate
 from ..sources import datasets, formats
+from . import benchmark
 from . import pairs as P
 
 QUERIES: dict = {}
@@ -657,6 +658,27 @@ def x23(spark, sf):
     return rounded(experiments.threshold_sweep(p, "p", [0.1, 0.25, 0.5, 0.75]), "rate")
 
 
+@query("x18_label_noise")
+def x18(spark, sf):
+    return benchmark.label_noise(P.customers(spark, sf)[0].select(*P.CU_CAT), "r_name", trees=10)
+
+
+_MODES_SQL = " UNION ALL ".join(f"SELECT '{m}' AS mode, 1 - pow({' * '.join(_V[k] for k in p)}, 1.0 / {len(p)}) AS p FROM x" for m, p in {"full": "abc", "lse_only": "a", "nic_only": "b", "rules_only": "c", "lse_nic": "ab"}.items())
+
+
+@query("x25_ablation", f"WITH x AS (SELECT {_PARTS} FROM lineitem), y AS ({_MODES_SQL}) SELECT mode, round(1 - avg(p), 6) AS score, round(avg((round(p, 9) > 0.5)::INTEGER), 6) AS violation_rate FROM y GROUP BY 1")
+def x25(spark, sf):
+    li = P.table(spark, sf, "lineitem").select(((F.col("l_linenumber") % 5) / 4.0).alias("lse_"), ((F.col("l_orderkey") % 7) / 6.0).alias("nic_"), F.when(F.col("l_orderkey") % 11 == 0, 1.0).otherwise(0.0).alias("rule_"))
+    return rounded(benchmark.ablation(li, True, 0.5 + 1e-9), "score", "violation_rate")
+
+
+@query("x27_reference_floor")
+def x27(spark, sf):
+    real = P.customers(spark, sf)[0]
+    got = benchmark.reference_floor(real, "c_custkey", lambda a, b: benchmark.fidelity_scores(a, b, ["ks_test", "tvd", "moment_matching"]))
+    return spark.createDataFrame(sorted(got.items()), "measure string, value double")
+
+
 # --- sources --------------------------------------------------------------------------------------------------------
 
 
