@@ -23,7 +23,7 @@ from .hashing import LOWER, NOT_SPACE, Rolling, byte_values, words_of
 MAX_LEN = 2048
 END_ID = 1
 #: Texts that are encoded together.
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 4_000_000
 _CACHE: dict[bytes, bytes] = {}
 _LATER: dict[bytes, bytes] = {}
 _TOKENIZERS: dict[str, object] = {}
@@ -50,8 +50,13 @@ def _tokenizer(path: str):
 def _encode_fresh(words: list[bytes], tok) -> dict[bytes, bytes]:
     """Ids of each word.  Words of letters alone are encoded together and parted where a token ends a word."""
     texts = [w.decode("utf-8") for w in words]
-    plain = [t.isalpha() and len(t) <= 64 for t in texts]
     out: dict[bytes, bytes] = {}
+    if "direct" not in _TOKENIZERS:
+        _TOKENIZERS["direct"] = all([t.id for t in tok.model.tokenize(w)] == tok.encode(w, add_special_tokens=False).ids for w in ("the", "tokenizer", "qxzvw"))
+    if _TOKENIZERS["direct"]:  # lower-case ASCII letters pass the steps before the model as they are
+        split = tok.model.tokenize
+        out = {w: np.array([p.id for p in split(t)], dtype="<u4").tobytes() for w, t in zip(words, texts, strict=True) if w.isalpha() and w.islower() and len(w) <= 64}
+    plain = [w not in out and t.isalpha() and len(t) <= 64 for w, t in zip(words, texts, strict=True)]
     letters = [w for w, p in zip(words, plain, strict=True) if p]
     if letters:
         if "ends" not in _TOKENIZERS:
