@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import hash_order
+from .frames import hash_order, running
 
 
 def chance(key: Column, seed: int, label: str = "") -> Column:
@@ -103,10 +103,8 @@ def conditional_swap(df: DataFrame, key: str, columns: list[str], level: float,
 def detection_metrics(df: DataFrame, flag: str, score: str, truth: str) -> DataFrame:
     """(precision, recall, f1, roc_auc, average_precision) of flags and scores against the truth (booleans)."""
     n = df.groupBy(F.col(score).alias("s_")).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("q"), F.count_if(F.col(flag) & F.col(truth)).alias("tp"), F.count_if(F.col(flag)).alias("f"))
-    all_ = Window.partitionBy(F.lit(0))
-    down = all_.orderBy(F.desc("s_")).rowsBetween(Window.unboundedPreceding, 0)
-    up = all_.orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("cp", F.sum("p").over(down)).withColumn("cn", F.sum(F.col("p") + F.col("q")).over(down)).withColumn("below", F.coalesce(F.sum("q").over(up), F.lit(0)))
+    n = running(n.where("s_ is not null").withColumns({"one_": F.lit(0), "down_": -F.col("s_"), "n": F.col("p") + F.col("q")}), ["one_"], "s_", ["q"]).withColumn("below", F.col("run_q") - F.col("q"))
+    n = running(n, ["one_"], "down_", ["p", "n"]).withColumns({"cp": F.col("run_p"), "cn": F.col("run_n")})
     tp, f, p, q = (F.sum(c) for c in ("tp", "f", "p", "q"))
     safe = lambda a, b: F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
     return n.agg(safe(tp, f).alias("precision"), safe(tp, p).alias("recall"), safe(2 * tp, f + p).alias("f1"), F.coalesce(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / F.nullif(p.cast("double") * q, F.lit(0.0)), F.lit(0.5)).alias("roc_auc"), safe(F.sum(F.col("p") * F.col("cp") / F.col("cn")), p).alias("average_precision"))

@@ -93,6 +93,23 @@ def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 42) -> DataFr
 FILLS = ("dropna", "mean", "median", "zero", "forward", "value")
 
 
+def running(n: DataFrame, by: list[str], order: str, sums: list[str], parts: int = 64) -> DataFrame:
+    """n with run_<c> for each of sums: its running total over ascending `order` within `by`, the row itself included.
+
+    `order` must be distinct within `by`.  Values are dealt to ranges of about equally many rows, so that no task sorts
+    a whole column; only range totals (parts + 1 for each group) are summed in one place.
+    """
+    marks = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    edges = n.groupBy(*by).agg(F.percentile_approx(order, marks, F.lit(2000)).alias("edges_"))  # a row a group
+    x = n.join(F.broadcast(edges), by).withColumn("range_", F.size(F.filter("edges_", lambda e: e < F.col(order)))).drop("edges_")
+    total = x.groupBy(*by, "range_").agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
+    w = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    before = total.select(*by, "range_", *[F.coalesce(F.sum(f"t_{c}").over(w), F.lit(0)).alias(f"before_{c}") for c in sums])
+    own = Window.partitionBy(*by, "range_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({f"own_{c}": F.sum(c).over(own) for c in sums}).join(F.broadcast(before), [*by, "range_"])
+    return x.withColumns({f"run_{c}": F.col(f"own_{c}") + F.col(f"before_{c}") for c in sums}).drop("range_", *[f"own_{c}" for c in sums], *[f"before_{c}" for c in sums])
+
+
 def fill(df: DataFrame, column: str, how: str = "dropna", value: float | None = None, order: str | None = None) -> DataFrame:
     """A numeric column without nulls: dropped, or filled by mean, median, zero, a value, or the nearest row before.
 
@@ -122,10 +139,10 @@ def fill(df: DataFrame, column: str, how: str = "dropna", value: float | None =
 def _forward(df: DataFrame, column: str, order: str, size: int = 10_000) -> DataFrame:
     """Carries values forward over ranges of the order column; only each range's last value crosses ranges."""
     n = df.count()
-    parts = max(1, n // size)
+    parts = max(1, min(200, n // size))
     edges = df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
     part = F.lit(0)
-    for e in sorted(set(edges))[:200]:
+    for e in sorted(set(edges)):
         part = part + F.when(F.col(order) > e, 1).otherwise(0)
     df = df.withColumn("part_", part)
     last = df.where(F.col(column).isNotNull()).groupBy("part_").agg(F.max_by(column, order).alias("v_"), F.min_by(column, order).alias("f_")).collect()  # a row a range

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import long_form
+from .frames import long_form, running
 
 MIN_ROWS = 10
 MOMENT_WEIGHTS = (0.40, 0.35, 0.15, 0.10)
@@ -43,9 +43,9 @@ def moments(stacked: DataFrame, columns: list[str]) -> DataFrame:
 def kolmogorov(stacked: DataFrame, columns: list[str]) -> DataFrame:
     """(col, score): 1 minus the greatest distance between the two distribution functions."""
     n = long_form(stacked, columns).groupBy("col", "v").agg(F.count_if(F.col("src") == "r").alias("r"), F.count_if(F.col("src") == "s").alias("s"))
-    run, all_ = Window.partitionBy("col").orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("col")
-    cdf = n.select("col", *[F.sum(c).over(run).alias(c) for c in "rs"], *[F.sum(c).over(all_).alias(f"n{c}") for c in "rs"])
-    return cdf.where(f"nr >= {MIN_ROWS} and ns >= {MIN_ROWS}").groupBy("col").agg((1 - F.max(F.abs(F.col("r") / F.col("nr") - F.col("s") / F.col("ns")))).alias("score"))
+    total = n.groupBy("col").agg(F.sum("r").alias("nr"), F.sum("s").alias("ns")).where(f"nr >= {MIN_ROWS} and ns >= {MIN_ROWS}")
+    cdf = running(n, ["col"], "v", ["r", "s"]).join(F.broadcast(total), "col")  # a row a column
+    return cdf.groupBy("col").agg((1 - F.max(F.abs(F.col("run_r") / F.col("nr") - F.col("run_s") / F.col("ns")))).alias("score"))
 
 
 def total_variation(stacked: DataFrame, columns: list[str]) -> DataFrame:
@@ -81,9 +81,8 @@ def correlation_ratio(stacked: DataFrame, category: str, number: str) -> DataFra
 
 def _ranks(x: DataFrame, column: str) -> DataFrame:
     """(src, column, rank): average ranks of the distinct values, so that only counts are ordered."""
-    n = x.groupBy("src", column).agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.partitionBy("src").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.select("src", column, (before + (F.col("k") + 1) / 2).alias(f"rank_{column}"))
+    n = running(x.groupBy("src", column).agg(F.count("*").alias("k")), ["src"], column, ["k"])
+    return n.select("src", column, (F.col("run_k") - (F.col("k") - 1) / 2).alias(f"rank_{column}"))
 
 
 def _pearson(g: DataFrame, x: str, y: str) -> DataFrame:
@@ -137,9 +136,8 @@ def concentration(stacked: DataFrame, columns: list[str], share: float = 0.05) -
     Ties are taken by value, from counts: only distinct magnitudes are ordered.
     """
     n = long_form(stacked, columns).groupBy("col", "src", F.abs("v").alias("x")).agg(F.count("*").alias("k"))
-    all_ = Window.partitionBy("col", "src")
-    down = all_.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("before", F.coalesce(F.sum("k").over(down), F.lit(0))).withColumn("n", F.sum("k").over(all_)).withColumn("total", F.sum(F.col("k") * F.col("x")).over(all_))
+    total = n.groupBy("col", "src").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("x")).alias("total"))
+    n = running(n.withColumn("down", -F.col("x")), ["col", "src"], "down", ["k"]).withColumn("before", F.col("run_k") - F.col("k")).join(F.broadcast(total), ["col", "src"])  # a row a column and table
     top = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)))
     take = F.greatest(F.lit(0), F.least(F.col("k"), top - F.col("before")))
     by = n.groupBy("col", "src").agg((F.sum(take * F.col("x")) / F.nullif(F.max("total"), F.lit(0.0))).alias("c"))
@@ -153,13 +151,13 @@ def predictive_parity(stacked: DataFrame, numeric: list[str]) -> DataFrame:
     if len(numeric) < 3:
         return spark.createDataFrame([(None,)], "parity double")
     pair = associations(stacked, numeric, []).groupBy("i", "j").agg(_side(F.col("v"), "r").alias("r"), _side(F.col("v"), "s").alias("s"))
-    one = pair.select(F.lit("x").alias("src"), "r", "s")
+    # A row a pair of columns: brought over once, as ranking it needs it several times.
+    one = spark.createDataFrame([("x", r["r"], r["s"]) for r in pair.collect()], "src string, r double, s double")
     return spearman(one, "r", "s").select(F.greatest(F.lit(0.0), F.col("v") * 100).alias("parity"))
 
 
 def auc(scored: DataFrame, score: str, positive: str) -> DataFrame:
     """(auc): the chance that a positive scores above a negative, ties half; 0.5 if a side is empty."""
     n = scored.groupBy(F.col(score).alias("s_")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(F.lit(0)).orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = n.withColumn("below", below)
+    n = running(n.where("s_ is not null").withColumn("one_", F.lit(0)), ["one_"], "s_", ["q"]).withColumn("below", F.col("run_q") - F.col("q"))
     return n.agg(F.coalesce(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / F.nullif(F.sum("p").cast("double") * F.sum("q"), F.lit(0.0)), F.lit(0.5)).alias("auc"))

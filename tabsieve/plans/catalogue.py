@@ -685,7 +685,12 @@ def x27(spark, sf):
 def _trip(fmt: str):
     def run(spark, sf):
         n = P.table(spark, sf, "nation")
-        path = f"{tempfile.gettempdir()}/tabsieve-{uuid.uuid4().hex}"
+        name = f"tabsieve-{uuid.uuid4().hex}"
+        if fmt in ("csv", "parquet", "json"):  # in the folder that all executors share
+            base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+            path = f"{base if '://' in base else 'file://' + base}/{name}"
+        else:  # written and read whole on the driver
+            path = f"{tempfile.gettempdir()}/{name}"
         return formats.read(spark, formats.write(n, path, fmt), fmt).select(*[F.col(c).cast(t).alias(c) for c, t in n.dtypes])
 
     return run
