@@ -5,13 +5,17 @@ from __future__ import annotations
 import numpy as np
 
 
-def packed(data: np.ndarray, width: int = 8) -> np.ndarray:
-    """The next `width` bytes from each position as one big-endian number, zero-padded at the end."""
-    n = len(data)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
-        out <<= np.uint64(8)
-        out[: max(n - k, 0)] |= data[k:].astype(np.uint64)
+#: A difference of two packed numbers is under the k-th of these if their first k + 1 bytes agree.
+_BELOW = np.array([1 << (56 - 8 * k) for k in range(8)], dtype=np.uint64)
+
+
+def packed(data: np.ndarray) -> np.ndarray:
+    """The next eight bytes from each position as one big-endian number, zero-padded at the end; by doubling."""
+    n, out = len(data), data.astype(np.uint64)
+    for k in (1, 2, 4):
+        wide = out << np.uint64(8 * k)
+        wide[: max(n - k, 0)] |= out[k:]
+        out = wide
     return out
 
 
@@ -79,13 +83,11 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
         same = (words[np.minimum(a, n - 1)] == words[np.minimum(b, n - 1)]) & (inside >= 8)
         stop = ~same
         if stop.any():
-            x, y, w, room = a[stop], b[stop], who[stop], inside[stop]
+            x = words[np.minimum(a[stop], n - 1)] ^ words[np.minimum(b[stop], n - 1)]
             more = np.zeros(len(x), dtype=np.int64)
-            live = np.ones(len(x), dtype=bool)
-            for k in range(8):
-                live &= (k < room) & (data[np.minimum(x + k, n - 1)] == data[np.minimum(y + k, n - 1)])
-                more += live
-            length[w] += more
+            for k in range(8):  # equal leading bytes
+                more += x < _BELOW[k]
+            length[who[stop]] += np.minimum(more, inside[stop])
         length[who[same]] += 8
         a, b, who = a[same] + 8, b[same] + 8, who[same]
     known = np.where(reducible, -1, i)
