@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,38 +14,66 @@ from .binning import encoder
 from .frames import sample
 
 STEPS = 30
+#: Rows of each table that coverage() samples.
 MAX_ROWS = 10_000
+#: Numbers of base vectors that are broadcast at a time; a larger base is taken in blocks.
+BLOCK_VALUES = 2_000_000
 
 
-def _matrix(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.select("id", "x").orderBy("id").toPandas()  # MAX_ROWS rows at most, of one vector each
-    return rows["id"].to_numpy(), np.array(rows["x"].tolist(), dtype=float)
+def _matrix(df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block by id; of equal vectors only the k smallest ids, as no others can be among the nearest."""
+    rows = df.select("id", "x").toPandas()  # BLOCK_VALUES numbers or so
+    ids, m = rows["id"].to_numpy(), np.array(rows["x"].tolist(), dtype=float)
+    order = np.argsort(ids, kind="stable")
+    ids, m = ids[order], m[order]
+    if not len(ids):
+        return ids, m
+    same = np.unique(m, axis=0, return_inverse=True)[1].ravel()
+    by = np.argsort(same, kind="stable")
+    first = np.searchsorted(same[by], same[by])
+    keep = np.sort(by[np.arange(len(by)) - first < k])
+    return ids[keep], m[keep]
 
 
-def neighbours(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """(id, base_id, d, rank): the k nearest of at most MAX_ROWS base vectors (id, x) for every query (id, x).
-
-    The base is bounded and broadcast as a matrix; queries stream past it in blocks.  Ties go to the smaller id.
-    """
-    held = base.sparkSession.sparkContext.broadcast(_matrix(base.orderBy("id").limit(MAX_ROWS)))
+def _block(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """(id, base_id, d): the k nearest of a base that fits in a broadcast matrix, for every query; queries stream past it."""
+    held = base.sparkSession.sparkContext.broadcast(_matrix(base, k))
 
     def search(batches):
         ids, m = held.value
-        sq = (m * m).sum(1)
-        for b in batches:
+        sq = (m * m).sum(1) if len(ids) else np.empty(0)
+        least = min(k, len(ids))
+        for b in batches if least else ():
             qid = np.asarray(b.column(0))
             x = np.array(b.column(1).to_pylist(), dtype=float)
-            for a in range(0, len(x), 512):
-                part = x[a : a + 512]
-                rough = (part * part).sum(1)[:, None] - 2 * part @ m.T + sq
-                few = np.argpartition(rough, min(k + 8, len(ids)) - 1, axis=1)[:, : k + 8]
-                d = np.sqrt(((part[:, None, :] - m[few]) ** 2).sum(-1))
-                order = np.lexsort((ids[few], np.round(d, 12)), axis=1)[:, :k]
-                own = np.take_along_axis(few, order, 1)
-                n = own.shape[1]
-                yield pa.RecordBatch.from_pydict({"id": np.repeat(qid[a : a + 512], n), "base_id": ids[own].ravel(), "d": np.take_along_axis(d, order, 1).ravel(), "rank": np.tile(np.arange(1, n + 1), len(part)).astype(np.int32)})
-
-    return queries.select("id", "x").mapInArrow(search, "id long, base_id long, d double, rank int")
+            for a in range(0, len(x), 128):
+                part = x[a : a + 128]
+                own = (part * part).sum(1)
+                rough = own[:, None] - 2 * part @ m.T + sq
+                # Whatever may tie with the k-th after rounding, or pass it for the error of the rough distance, is measured.
+                scale = own + sq.max()
+                most = np.partition(rough, least - 1, axis=1)[:, least - 1] + 1e-11 * (scale + np.sqrt(scale)) + 1e-24
+                i, j = np.nonzero(rough <= most[:, None])
+                d = np.sqrt(((part[i] - m[j]) ** 2).sum(-1))
+                order = np.lexsort((ids[j], np.round(d, 12), i))
+                i, j, d = i[order], j[order], d[order]
+                few = np.arange(len(i)) - np.searchsorted(i, i) < k
+                yield pa.RecordBatch.from_pydict({"id": qid[a : a + 128][i[few]], "base_id": ids[j[few]], "d": d[few]})
+
+    return queries.select("id", "x").mapInArrow(search, "id long, base_id long, d double")
+
+
+def neighbours(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """(id, base_id, d, rank): the k nearest of all base vectors (id, x) for every query (id, x).
+
+    The base is taken in blocks by a hash of the id; each is broadcast, and the k nearest of the blocks are merged.
+    Distances are equal if they agree to twelve places; ties go to the smaller id.
+    """
+    values = base.agg(F.sum(F.size("x"))).first()[0] or 0
+    blocks = max(1, math.ceil(values / BLOCK_VALUES))
+    found = reduce(DataFrame.unionByName, [_block(queries, base.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k) for b in range(blocks)])
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("d", 12), "base_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def coverage(real: DataFrame, synthetic: DataFrame, numeric: list[str], categorical: list[str], key: str, max_rows: int = MAX_ROWS, seed: int = 42) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,24 @@ def test_coverage(spark):
         coverage.coverage(df.limit(3), df, ["x"], [], "k")
 
 
+def test_neighbours_of_whole_base(spark, monkeypatch):
+    monkeypatch.setattr(coverage, "MAX_ROWS", 20)
+    monkeypatch.setattr(coverage, "BLOCK_VALUES", 60, raising=False)  # several blocks
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(90, 3)), np.ones((40, 3))])  # ids 90 to 129 share one vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = {(i, int(j), r + 1) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), np.round(d[i], 12)))[:4])}
+    assert {(r["id"], r["base_id"], r["rank"]) for r in coverage.neighbours(df, df, 4).collect()} == want
+    assert coverage.neighbours(df, df.limit(0), 4).count() == 0
+    u = df.where("id < 90")
+    near = [[j for j in np.argsort(d[i, :90], kind="stable") if j != i][:5] for i in range(90)]
+    kd = [d[i, near[i][-1]] for i in range(90)]
+    lrd = [1 / np.mean([max(d[i, j], kd[j]) for j in near[i]]) for i in range(90)]
+    lof = {r["id"]: r["lof"] for r in coverage.local_outlier_factor(u, 5).collect()}
+    assert [lof[i] for i in range(90)] == pytest.approx([np.mean([lrd[j] for j in near[i]]) / lrd[i] for i in range(90)])
+
+
 def test_privacy(spark):
     df = spark.createDataFrame([(i, float(i * 7 % 101), float(i * 3 % 53), f"c{i % 40}", f"d{i}") for i in range(150)], "k long, x double, y double, c string, d string")
     assert one(privacy.exact_copies(df, df, ["x", "d"]))["risk"] == "very_high"
