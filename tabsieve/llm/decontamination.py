@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds, with DataFrame functions only.
 
-Fixed masks pick some of ten consecutive tokens and ignore the others, so a substituted token spoils only the seeds
-that look at it.  Seeds of documents meet seeds of benchmark items by hash; around each hit the item is laid over the
-document and equal tokens are counted, place by place.
+Fixed masks pick some of a few consecutive tokens and ignore the others, so a substituted token spoils only the seeds
+that look at it; masks are chosen by the length of an item so that no pattern within the threshold spoils all.
+Seeds of documents meet seeds of benchmark items by hash; around each hit the item is laid over the document and equal
+tokens are counted, place by place.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = 10
-#: Positions that each mask looks at.
-MASKS = ((0, 1, 3, 6, 8, 9), (0, 1, 2, 5, 7, 9))
-#: Items of fewer tokens are not looked for.
-LEAST_TOKENS = 5
+#: Masks (the places each looks at) by the least width that they serve.  Where a fifth of the width may be substituted,
+#: every pattern leaves a place at which one of them sees equal tokens only: those of 5 in any width, as one of its
+#: blocks of five has one substitution at most; those of 10 likewise by blocks of 10 and 15; those of 20 up to 24.
+MASKS = {
+    5: ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)),
+    10: ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 2, 3, 4)),
+    20: ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 8, 9), (0, 1, 2, 4, 5, 6)),
+}
 #: Benchmark tokens that are broadcast at a time; a larger benchmark is taken in blocks.
 BLOCK_TOKENS = 1_000_000
 WINDOW, SHARE = 20, 0.8
@@ -28,8 +32,16 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeded(rows: DataFrame, words: str, shapes: list[tuple[int, tuple[int, ...]]], keep: list[str], place: str) -> DataFrame:
-    """keep, the place of every token and, for each shape (span, positions) that fits there, a hash h of what it sees.
+def masks(width: int, share: float) -> tuple[tuple[int, ...], ...]:
+    """Masks of which one at least hits wherever `share` of `width` places hold equal tokens."""
+    wrong = width - math.ceil(share * width)
+    if wrong > width // 5 or width < 5:
+        return (tuple(range(max(1, width // (wrong + 1)))),)  # of wrong + 1 runs one is whole; the whole item if wrong is 0
+    return MASKS[20 if 20 <= width < 25 else 10 if width >= 10 else 5]
+
+
+def _seeded(rows: DataFrame, words: str, shapes: list[tuple[tuple[int, ...], Column]], keep: list[str], place: str) -> DataFrame:
+    """keep, the place of every token and, for each shape (places, condition) that fits there, a hash h of what it sees.
 
     Places are exploded before anything is hashed: unlike higher-order functions, all of it is then generated code,
     and the words are carried by reference.  The outer variants keep the optimiser from deriving a filter on the
@@ -38,7 +50,7 @@ def _seeded(rows: DataFrame, words: str, shapes: list[tuple[int, tuple[int, ...]
     n = F.size(words)
     rows = rows.select(*keep, F.posexplode_outer(words).alias("p", "word_"))
     p = F.col("p")
-    hashes = [F.when(p <= n - span, F.xxhash64(F.lit(k), *[F.get(words, p + at) for at in places])) for k, (span, places) in enumerate(shapes)]
+    hashes = [F.when(own & (p < n - places[-1]), F.xxhash64(F.lit(k), *[F.get(words, p + at) for at in places])) for k, (places, own) in enumerate(shapes)]
     return rows.select(*keep, p.alias(place), F.explode_outer(F.array(*hashes)).alias("h")).where("h is not null")
 
 
@@ -48,27 +60,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A pair is returned if, with the item laid over the document at some hit, at least `share` of some `window`
     consecutive places (or of the whole item, if it is shorter) hold equal tokens; overlap is the most in such a
     window, matched the most over the whole item.  Only substitutions are tolerated within a window; an insertion
-    begins another overlay.  Null texts have no tokens; null ids are returned as null; repeated rows make one pair.
+    begins another overlay.  Items under five tokens are found whole.  Null texts have no
+    tokens; null ids are returned as null; repeated rows make one pair.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("iw"))
-    items = items.withColumn("m", F.size("iw")).where(F.col("m") >= LEAST_TOKENS)
-    total, *short = items.agg(F.sum("m"), *[F.max(F.col("m") == k) for k in range(LEAST_TOKENS, SPAN)]).first()
-    shapes = [(SPAN, at) for at in MASKS] + [(k, tuple(range(k))) for k, some in zip(range(LEAST_TOKENS, SPAN), short, strict=True) if some]
+    items = items.withColumn("m", F.size("iw")).where("m > 0")
+    width = F.least(F.col("m"), F.lit(window))
+    total, widths = items.agg(F.sum("m"), F.collect_set(width)).first()
+    served: dict[tuple[int, ...], list[int]] = {}
+    for w in sorted(widths) or [window]:
+        for places in masks(w, share):
+            served.setdefault(places, []).append(w)
     blocks = max(1, math.ceil((total or 0) / BLOCK_TOKENS))
 
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
-    looked = _seeded(words, "w", shapes, ["doc_id", "w"], "p")
+    looked = _seeded(words, "w", [(places, F.lit(True)) for places in served], ["doc_id", "w"], "p")
     found = []
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "iw"), F.lit(blocks)) == b)
-        seeds = _seeded(own, "iw", shapes, ["item_id", "iw", "m"], "q")
+        seeds = _seeded(own, "iw", [(places, width.isin(ws)) for places, ws in served.items()], ["item_id", "iw", "m"], "q")
         # A block holds BLOCK_TOKENS tokens, and as many seeds of each shape, at most.
         found.append(looked.join(F.broadcast(seeds), "h"))
     hits = reduce(DataFrame.unionByName, found).withColumn("at", F.col("p") - F.col("q"))
     same = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.when((F.col("at") + j >= 0) & (F.get("w", F.when(F.col("at") + j >= 0, F.col("at") + j)) == F.get("iw", j)), 1).otherwise(0))
     # explode_outer(array(...)) keeps the comparison out of the join's condition.
     hits = hits.select("doc_id", "item_id", "m", "at", F.explode_outer(F.array(same)).alias("e")).withColumn("matched", F.aggregate("e", F.lit(0), lambda a, x: a + x))
-    width = F.least(F.col("m"), F.lit(window))
     hits = hits.where(F.col("matched") >= F.lit(share) * width).dropDuplicates(["doc_id", "item_id", "at"])
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("m") - width + 1), lambda j: F.aggregate(F.slice("e", j, width), F.lit(0), lambda a, x: a + x)))
     hits = hits.withColumn("window", width).withColumn("overlap", best).where(F.col("overlap") >= F.lit(share) * F.col("window"))

@@ -1,6 +1,8 @@
 """Vector links, shingle classes, components and decontamination against brute force."""
 
+import math
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -132,3 +134,32 @@ def test_decontamination(spark, monkeypatch):
     assert set(got) == want
     assert contaminated(df.limit(0), bench).count() == 0
     assert contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_masks_leave_a_seed():
+    for width in range(1, 21):
+        wrong = width - math.ceil(0.8 * width)
+        for spoilt in combinations(range(width), wrong):
+            assert any(not {at + p for p in m} & set(spoilt) for m in decontamination.masks(width, 0.8) for at in range(width - m[-1])), (width, spoilt)
+
+
+def test_decontamination_at_the_threshold(spark):
+    rnd = random.Random(9)
+    items = {m: [f"w{rnd.randrange(60)}" for _ in range(m)] for m in (1, 3, 4, 5, 7, 9, 10, 12, 15, 16, 19, 20, 26)}
+    docs = []
+    for m, words in items.items():
+        width = min(m, 20)
+        spoilt = list(combinations(range(width), width // 5))
+        for places in spoilt if len(spoilt) < 50 else rnd.sample(spoilt, 50):
+            passage = [w if k not in places else "zz" for k, w in enumerate(words)][: width if rnd.random() < 0.5 else m]
+            docs.append([f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(4))] + passage + [f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(4))])
+    want = set()
+    for d, words in enumerate(docs):  # the item at every place of the document, without seeds
+        for m, item in items.items():
+            for at in range(1 - m, len(words)):
+                e = [int(0 <= at + j < len(words) and words[at + j] == item[j]) for j in range(m)]
+                if max(sum(e[j : j + 20]) for j in range(max(1, m - 19))) >= 0.8 * min(m, 20):
+                    want.add((d, m))
+    bench = spark.createDataFrame([(m, " ".join(w)) for m, w in items.items()], "item_id long, text string")
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], SCHEMA)
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(df, bench).collect()} == want
