@@ -1,7 +1,8 @@
 """Chat formatting by quotation linking: replies are ordered by whom they quote, and quotes are taken out.
 
 Quoted lines begin with one or more '>'.  Runs of lines of one quote level are passages; their normalised wording is
-hashed and joined to the passages that messages of the same conversation wrote themselves.
+hashed and joined to the passages that messages of the same conversation wrote themselves.  A passage that nobody wrote
+as a whole is looked for by its paragraphs, lines and pairs of neighbouring lines.
 """
 
 from __future__ import annotations
@@ -37,13 +38,40 @@ def passages(text: str) -> list[tuple[int, str]]:
     return [(level, "\n".join(body)) for level, body in out]
 
 
-def parsed(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
-    """A message without its quotes; what of it can be quoted (whole, by run, paragraph or line); what it quotes."""
+def lines(text: str) -> list[str]:
+    """Normalised lines that hold a letter or digit."""
+    return [x for x in map(normalised, text.split("\n")) if any(map(str.isalnum, x))]
+
+
+def pairs(of: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(of, of[1:])]
+
+
+def parts(text: str) -> tuple[int, list[tuple[int, int, str]]]:
+    """Number of lines; (first line, last line, wording) of every line, pair of neighbouring lines and paragraph."""
+    every = lines(text)
+    out = [(i, i, x) for i, x in enumerate(every)] + [(i, i + 1, x) for i, x in enumerate(pairs(every))]
+    at = 0
+    for p in re.split(r"\n\s*\n", text):
+        n = len(lines(p))
+        if n > 1:
+            out.append((at, at + n - 1, normalised(p)))
+        at += n
+    return len(every), out
+
+
+def parsed(text: str | None) -> tuple[str, list[str], list[dict]]:
+    """A message without its quotes; what of it can be quoted (whole, by run, paragraph, line or two lines); what it quotes."""
     runs = passages(text or "")
     own = [body for level, body in runs if level == 0]
     clean = "\n".join(own).strip()
-    pieces = {normalised(p) for p in [clean, *own, *re.split(r"\n\s*\n", clean), *clean.split("\n")]} - {""}
-    return clean, sorted(pieces), [(level, normalised(body)) for level, body in runs if level]
+    pieces = {normalised(p) for p in [clean, *own, *re.split(r"\n\s*\n", clean), *clean.split("\n"), *pairs(lines(clean))]} - {""}
+    quotes = []
+    for level, body in runs:
+        if level:
+            n, of = parts(body)
+            quotes.append({"level": level, "piece": normalised(body), "n": n, "parts": [{"a": a, "b": b, "piece": x} for a, b, x in of]})
+    return clean, sorted(pieces), quotes
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -51,28 +79,43 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     A message replies to the latest earlier message that it quotes at level 1 (or, where only deeper quotes are
     found, at the least level found); reply_to is that turn, or null.  The original of a passage is the first
-    message of the conversation that wrote it itself.  path holds the turns from the first message of the thread to
+    message of the conversation that wrote it itself.  If none wrote it as a whole, it is the first that holds all its
+    lines (in paragraphs, pairs or alone; lines without letters and digits aside), among those that were the first to
+    write one of these parts.  path holds the turns from the first message of the thread to
     this one: ordered by (conv_id, path), every reply follows what it answers.  n_quoted counts quoted passages,
     n_linked those whose original was found.  Null texts are empty, messages without conv_id or turn link with
     nothing, and rows that share both are replies of one another's thread alike.  An empty table gives no rows.
     """
     m = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).cast("string").alias("text"))
     m = m.withColumn("row_", F.xxhash64("conv_id", "turn", "role", "text"))
-    quotes = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("piece", T.StringType())]))
+    part = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("piece", T.StringType())])
+    quotes = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("parts", T.ArrayType(part))]))
     shape = T.StructType([*m.schema.fields, T.StructField("clean", T.StringType()), T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("quotes", quotes)])
 
+    of = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("piece", pa.string())]))
+
     def parse(batches):
         for b in batches:
             got = [parsed(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            listed = pa.array([[{"level": x, "piece": y} for x, y in g[2]] for g in got], pa.list_(pa.struct([("level", pa.int32()), ("piece", pa.string())])))
+            listed = pa.array([g[2] for g in got], pa.list_(pa.struct([("level", pa.int32()), ("piece", pa.string()), ("n", pa.int32()), ("parts", of)])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string())), listed], names=[*b.schema.names, "clean", "pieces", "quotes"])
 
     runs = saved(m.mapInArrow(parse, shape))
     wrote = runs.select("conv_id", "turn", F.explode("pieces").alias("piece")).where("conv_id is not null and turn is not null")
     origin = wrote.groupBy("conv_id", F.xxhash64("piece").alias("h"), F.xxhash64("piece", F.lit(1)).alias("g")).agg(F.min("turn").alias("origin"))
-    quoted = runs.select("conv_id", "turn", "row_", F.posexplode("quotes").alias("k", "q")).select("conv_id", "turn", "row_", "k", F.col("q.level").alias("level"), F.col("q.piece").alias("piece"))
+    quoted = runs.select("conv_id", "turn", "row_", F.posexplode("quotes").alias("k", "q")).select("conv_id", "turn", "row_", "k", F.col("q.level").alias("level"), F.col("q.piece").alias("piece"), F.col("q.n").alias("n"), F.col("q.parts").alias("parts"))
     quoted = quoted.withColumn("h", F.xxhash64("piece")).withColumn("g", F.xxhash64("piece", F.lit(1)))
-    met = quoted.join(origin, ["conv_id", "h", "g"]).where("origin < turn")
+    run = ["conv_id", "turn", "row_", "k"]
+    met = saved(quoted.join(origin, ["conv_id", "h", "g"]).where("origin < turn").select(*run, "level", "origin"))
+    # Of the other passages: first writers of any part, and how many lines each of them holds in all.
+    rest = quoted.join(met, run, "left_anti").select(*run, "level", "n", F.explode("parts").alias("p")).select(*run, "level", "n", "p.a", "p.b", F.xxhash64("p.piece").alias("h"), F.xxhash64("p.piece", F.lit(1)).alias("g"))
+    rest = saved(rest)
+    if not rest.isEmpty():
+        first = rest.join(origin, ["conv_id", "h", "g"]).where("origin < turn").select(*run, "origin").distinct()
+        own = wrote.select("conv_id", F.col("turn").alias("origin"), F.xxhash64("piece").alias("h"), F.xxhash64("piece", F.lit(1)).alias("g"))
+        held = rest.join(first, run).join(own, ["conv_id", "origin", "h", "g"], "left_semi")
+        held = held.select(*run, "level", "n", "origin", F.explode(F.sequence("a", "b")).alias("i")).groupBy(*run, "level", "n", "origin").agg(F.countDistinct("i").alias("i")).where("i = n")
+        met = met.unionByName(held.groupBy(*run, "level").agg(F.min("origin").alias("origin")))
     replies = met.groupBy("conv_id", "turn", "row_").agg(F.countDistinct("k").alias("n_linked"), F.max_by("origin", F.struct(-F.col("level"), F.col("origin"))).alias("reply_to"))
 
     # Paths by doubling: each round joins a path to that of its earliest known message's parent.

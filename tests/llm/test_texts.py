@@ -48,6 +48,22 @@ def test_quotes(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
 
+def test_partial_quotes(spark):
+    rows = [
+        (0, "one line\ntwo lines\nthree lines\n\nsecond paragraph\nof two lines\n\nlast paragraph"),
+        (1, "> two lines\n> three lines\nb"),  # two of three lines
+        (2, "> second paragraph of\n> two lines\n>\n> last paragraph\nc"),  # two of three paragraphs, wrapped anew
+        (3, "> one line\n> [...]\n> last paragraph\nd"),  # two lines out of more
+        (4, "one line\nfour lines"),
+        (5, "> one line\n> four lines\n> nowhere\ne"),  # a line that nobody wrote
+        (6, "> four lines\n> one line\nf"),  # only the fourth holds both
+        (7, "> e\n\n>> one line\n>> two lines\ng"),
+    ]
+    df = spark.createDataFrame([(1, t, "a", x) for t, x in rows], "conv_id long, turn int, role string, text string")
+    got = {r["turn"]: (r["reply_to"], r["depth"], r["n_quoted"], r["n_linked"]) for r in quotes.link_quotes(df).collect()}
+    assert got == {0: (None, 0, 0, 0), 1: (0, 1, 1, 1), 2: (0, 1, 1, 1), 3: (0, 1, 1, 1), 4: (None, 0, 0, 0), 5: (None, 0, 1, 0), 6: (4, 1, 1, 1), 7: (5, 1, 2, 2)}
+
+
 def test_quote_levels():
     assert quotes.passages("a\n> b\n>> c\n> > d\ne") == [(0, "a"), (1, "b"), (2, "c\nd"), (0, "e")]
 
