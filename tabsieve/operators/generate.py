@@ -203,7 +203,10 @@ class GaussianCopula(BaseGenerator):
 
 
 class EmpiricalCopula(GaussianCopula):
-    """Marginals by quantiles of the data, joined by a Gaussian copula of ranks."""
+    """Marginals by 201 quantiles of the data, joined by the Gaussian copula of the fitted marginals.
+
+    Ranks are not used: correlations are those of GaussianCopula, from normal or lognormal marginals.
+    """
 
     def _fit(self, df: DataFrame) -> None:
         super()._fit(df)
@@ -237,18 +240,25 @@ def tail_dependence(family: str, theta: float, df: float | None = None) -> tuple
     raise ValueError(f"unknown family {family!r}")
 
 
-FAMILIES = {"gaussian": ("gaussian",), "archimedean": ("clayton", "gumbel", "frank", "joe"), "all": ("gaussian", "clayton", "gumbel", "joe", "frank")}
+#: Families that VineCopula fits; tail_dependence() knows more.
+FITTED = ("gaussian", "clayton")
+FAMILIES = {"gaussian": ("gaussian",), "archimedean": ("clayton",), "all": FITTED}
 
 
 class VineCopula(GaussianCopula):
-    """A first-tree C-vine on the column of strongest rank correlation: pair families by Kendall's tau and tail weight.
+    """A first-tree C-vine on the column of strongest correlation of normal scores.
 
-    Numbers only; categories are drawn independently by their shares.
+    Pairs are Gaussian, or Clayton if the family set has no 'gaussian' and tau is over 0.01 (else Gaussian all the same).
+    Families are not chosen by likelihood or tail weight, gumbel, joe, frank and student are not fitted (a ValueError if
+    named), and tau is derived from the Gaussian correlation, not counted.  Numbers only; categories are drawn
+    independently by their shares.
     """
 
     def __init__(self, family_set: str = "all", **kw):
         super().__init__(**kw)
         self.families = FAMILIES.get(family_set, (family_set,))
+        if not set(self.families) <= set(FITTED):
+            raise ValueError(f"family set {family_set!r} is not fitted; use one of {sorted({*FAMILIES, *FITTED})}")
 
     def _fit(self, df: DataFrame) -> None:
         super()._fit(df)

@@ -235,6 +235,14 @@ def test_generators(spark):
             generate.make_generator(kind)
 
 
+def test_vine_families():
+    for family in ("gumbel", "joe", "frank", "student", "odd"):
+        with pytest.raises(ValueError):
+            generate.make_generator("vine", family_set=family)
+    for family in ("all", "archimedean", "gaussian", "clayton"):
+        generate.make_generator("vine", family_set=family)
+
+
 def test_experiments(spark):
     df = spark.createDataFrame([(i, float(i), float(-i), "abc"[i % 3]) for i in range(200)], "k long, x double, y double, c string")
     p = experiments.permute(df, "k", ["x"], 0.5).collect()
