@@ -41,9 +41,11 @@ def repeated_strings(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark passage; rows without id are judged by their text."""
+    key = F.when(F.col("doc_id").isNotNull(), F.concat(F.lit("i"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keyed = docs.withColumn("key_", key)
+    found = contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key_").select(F.col("doc_id").alias("key_")).distinct()
+    return keyed.join(found, "key_", "left_anti").select(*docs.columns)
 
 
 def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

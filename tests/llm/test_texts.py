@@ -196,6 +196,13 @@ def test_pipeline(spark):
     assert nothing.count() == 0
 
 
+def test_leaks_without_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(None, f"before {item} after"), (None, "nothing of it"), (None, None), (1, item), (2, "nor here")]
+    left = corpus_pipeline.benchmark_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert left.columns == ["doc_id", "text"] and {tuple(r) for r in left.collect()} == {rows[1], rows[2], rows[4]}
+
+
 def test_queries_and_sql_names():
     assert {re.match(r"op(\d+)_", q)[1] for q in QUERIES} == {str(i) for i in range(1, 11)}
     assert set(ORACLE_SQL) <= set(QUERIES)
