@@ -68,10 +68,8 @@ def blocks(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 
 def by_id(table: pa.Table) -> pa.Table:
-    """Rows by ascending id, null ids last; equal ids keep their order."""
-    ids = table.column("id_").combine_chunks()
-    filled = np.asarray(pc.fill_null(ids, np.iinfo(np.int64).max))
-    return table.take(pa.array(np.argsort(filled, kind="stable"))) if len(filled) else table
+    """Rows by ascending id, null ids last; equal ids by their text, so that every pass sees the same order."""
+    return table.take(pc.sort_indices(table, sort_keys=[("id_", "ascending"), ("text_", "ascending")])) if len(table) else table
 
 
 def split_points(keys: np.ndarray, buckets: int) -> np.ndarray:

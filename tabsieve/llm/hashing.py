@@ -74,6 +74,21 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+def least_grams(data: np.ndarray, k: int, width: int, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Even hashes of all grams of k bytes, and the smallest of the `width` grams from each place on.
+
+    Works block by block, so that all intermediate arrays stay in the processor's cache.
+    """
+    n = max(len(data) - k + 1, 0)
+    grams, least = np.empty(n, dtype=U), np.empty(max(n - width + 1, 0), dtype=U)
+    for a in range(0, len(least), block):
+        z = min(len(least), a + block)
+        own = Rolling(byte_values(data[a : z + k + width - 2])).grams(k) & ~U(1)
+        grams[a : a + len(own)] = own
+        least[a:z] = sliding_min(own, width)
+    return grams, least
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of word bytes: start, end and document number of each; runs stop at document ends."""
     flags = is_word[data]

@@ -19,41 +19,74 @@ def packed(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(data: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and ranks of a byte array; with depth, suffixes that agree on that many bytes may stay tied.
+#: Tied suffixes that are sorted at a time; a larger group is sorted whole.
+SLICE = 1 << 18
 
-    Suffixes are sorted by their first eight bytes; then, as in Larsson and Sadakane, only groups that are still
-    tied are refined, by the rank of the suffix h places on, with h doubling.
+
+def _first_order(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffixes by as many bytes as fit into a word beside their place; where a new value begins; that number of bytes."""
+    n = len(data)
+    held = np.zeros(256, dtype=np.uint64)
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    held[used] = np.arange(1, len(used) + 1)  # 0: past the end
+    wide, place = len(used).bit_length(), max(1, (n - 1).bit_length())
+    k = (64 - place) // wide
+    code = held[data]
+    key = code.copy()
+    for j in range(1, k):
+        key <<= np.uint64(wide)
+        key[: max(n - j, 0)] |= code[j:]
+    key <<= np.uint64(place)
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    sa = (key & np.uint64((1 << place) - 1)).astype(np.int64)
+    key >>= np.uint64(place)
+    return sa, np.append(True, key[1:] != key[:-1]), k
+
+
+def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order and ranks of a byte array.
+
+    Suffixes are sorted by their first bytes; then, as in Larsson and Sadakane, only groups that are still tied are
+    refined, by the rank of the suffix h places on, with h doubling.  Groups are independent of one another and are
+    sorted some at a time, as words that hold a group, a rank and a place.
     """
     n = len(data)
     if n == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    key = packed(data)
-    sa = np.argsort(key).astype(np.int64)
-    ordered = key[sa]
-    head = np.ones(n, dtype=bool)
-    head[1:] = ordered[1:] != ordered[:-1]
-    # Short suffixes at the end are padded with zeros and may tie with real zero bytes: the shorter sorts first.
-    rank = np.empty(n, dtype=np.int64)
+    sa, head, h = _first_order(data)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    rank = np.empty(n, dtype=kind)
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    h = 8
-    follows = np.append(head[1:], True)
-    tied = np.flatnonzero(~(head & follows))  # places in sa whose group has several members
-    while len(tied) and (depth is None or h < depth):
-        at = sa[tied]
-        group = rank[at]
-        ahead = at + h
-        nxt = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        # A suffix that ends within h bytes is shorter than any it ties with.
-        nxt = np.where(ahead >= n, -at - 1, nxt)
-        order = np.argsort(group * (2 * n + 2) + nxt)
-        at, group, nxt = at[order], group[order], nxt[order]
-        sa[tied] = at
-        new = np.ones(len(tied), dtype=bool)
-        new[1:] = (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])
-        rank[at] = np.maximum.accumulate(np.where(new, tied, 0))
-        single = new & np.append(new[1:], True)
-        tied = tied[~single]
+    many = ~(head & np.append(head[1:], True))  # places in sa whose group has several members
+    tied, lead = np.flatnonzero(many), head[many]
+    ranks = np.uint64(n.bit_length())
+    while len(tied):
+        begins = np.flatnonzero(lead)
+        cuts = np.unique(np.append(begins[np.searchsorted(begins, np.arange(0, len(tied), SLICE))[: -(-len(tied) // SLICE)].clip(max=len(begins) - 1)], len(tied)))
+        left, fresh = [], []
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            where, at = tied[a:z], sa[tied[a:z]]
+            ahead = at + h
+            nxt = rank[np.minimum(ahead, n - 1)].astype(np.uint64) + np.uint64(1)
+            nxt[ahead >= n] = 0  # a suffix that ends within h bytes is shorter than any it ties with
+            bits = np.uint64(max(1, int(z - a - 1).bit_length()))
+            key = ((np.cumsum(lead[a:z]) - 1).astype(np.uint64) << ranks) | nxt
+            if int(key[-1]).bit_length() + int(bits) <= 64:
+                key = (key << bits) | np.arange(z - a, dtype=np.uint64)
+                key.sort()
+                at = at[(key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)]
+                key >>= bits
+            else:  # hundreds of megabytes in one array
+                order = np.argsort(key)
+                at, key = at[order], key[order]
+            sa[where] = at
+            new = np.append(True, key[1:] != key[:-1])
+            rank[at] = np.maximum.accumulate(np.where(new, where, 0))
+            stay = ~(new & np.append(new[1:], True))
+            left.append(where[stay])
+            fresh.append(new[stay])
+        tied, lead = np.concatenate(left), np.concatenate(fresh)
         h *= 2
     return sa, rank
 
@@ -68,32 +101,30 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     n = len(data)
     if n == 0:
         return np.empty(0, np.int64)
-    before = np.full(n, -1, dtype=np.int64)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    before = np.full(n, -1, dtype=kind)
     before[sa[1:]] = sa[:-1]
-    i = np.arange(n)
     reducible = np.zeros(n, dtype=bool)
-    ok = (i > 0) & (before > 0)
-    reducible[ok] = data[i[ok] - 1] == data[before[ok] - 1]
+    reducible[1:] = (data[np.maximum(before[1:] - 1, 0)] == data[:-1]) & (before[1:] > 0)
     start = np.flatnonzero(~reducible & (before >= 0))
     words = packed(data)
-    length = np.zeros(n, dtype=np.int64)
-    a, b, who = start.copy(), before[start], start
+    length = np.zeros(n, dtype=kind)
+    a, b, who = start, before[start].astype(np.int64), start
+    done = 0
     while len(who):
-        inside = np.minimum(n - a, n - b)
-        same = (words[np.minimum(a, n - 1)] == words[np.minimum(b, n - 1)]) & (inside >= 8)
+        inside = n - np.maximum(a, b)
+        differ = words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)]
+        same = (differ == 0) & (inside >= 8)
         stop = ~same
-        if stop.any():
-            x = words[np.minimum(a[stop], n - 1)] ^ words[np.minimum(b[stop], n - 1)]
-            more = np.zeros(len(x), dtype=np.int64)
-            for k in range(8):  # equal leading bytes
-                more += x < _BELOW[k]
-            length[who[stop]] += np.minimum(more, inside[stop])
-        length[who[same]] += 8
+        more = np.zeros(np.count_nonzero(stop), dtype=kind)
+        for k in range(8):  # equal leading bytes
+            more += differ[stop] < _BELOW[k]
+        length[who[stop]] = done + np.minimum(more, inside[stop])
+        done += 8
         a, b, who = a[same] + 8, b[same] + 8, who[same]
-    known = np.where(reducible, -1, i)
-    source = np.maximum.accumulate(known)
-    plcp = np.maximum(length[source] - (i - source), 0)
-    plcp[before < 0] = 0
+    place = np.arange(n, dtype=kind)
+    source = np.maximum.accumulate(np.where(reducible, 0, place))
+    plcp = np.maximum(length[source] - (place - source), 0)
     lcp = plcp[sa]
     lcp[0] = 0
     return lcp

@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabsieve.llm import repeated_strings
+from tabsieve.llm import exchange, repeated_strings
+from tabsieve.llm import suffix_array as suffix_arrays
 from tabsieve.llm.hashing import NOT_SPACE, Rolling, byte_values, sliding_min, words_of
 from tabsieve.llm.repeated_strings import remove_repeated_strings
 from tabsieve.llm.repeated_windows import levels_of, remove_repeated_windows
@@ -92,6 +93,38 @@ def test_strings_match_brute_force(spark, monkeypatch):
     assert digest(remove_repeated_strings(df, length=64)) == brute_strings(rows, 64)
 
 
+def test_passages_of_a_shorter_length(spark, monkeypatch):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for most in (512, 2):  # with 2, anchors are spread over several shards
+        monkeypatch.setattr(repeated_strings, "PER_SHARD", most)
+        out = remove_repeated_strings(df, length=64, passage=30).collect()
+        assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in out) == brute_strings(rows, 64)
+        assert sorted((r["n_bytes"], sum(s["end"] - s["start"] for s in r["passage_spans"]), len(r["passage_spans"])) for r in out) == [x[:3] for x in brute_strings(rows, 30)]
+        assert all("\ufffd" not in r["without_passages"] for r in out)
+    with pytest.raises(ValueError):
+        remove_repeated_strings(df, length=64, passage=65)
+
+
+def test_strings_of_rows_with_equal_ids(spark):
+    """Rows of one id or none, in another order at every pass."""
+    rows = [(rid, t) for (_, t), rid in zip(corpus(9, 400), [None, 7] * 200, strict=True)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    out = remove_repeated_strings(df, length=40).select("n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert sorted(tuple(r) for r in out.collect()) == brute_strings(rows, 40)
+    t = exchange.pa.table({"id_": exchange.pa.array([7, None, 7, 2]), "text_": ["b", "c", "a", None]})
+    want = exchange.by_id(t).to_pydict()
+    assert want == {"id_": [2, 7, 7, None], "text_": [None, "a", "b", "c"]}
+    assert exchange.by_id(t.take([3, 2, 1, 0])).to_pydict() == want
+
+
+def test_suffix_array_in_slices(monkeypatch):
+    monkeypatch.setattr(suffix_arrays, "SLICE", 16)
+    data = np.frombuffer(b"abcab" * 60 + bytes(50) + b"abcabd" * 20, dtype=np.uint8)
+    b = data.tobytes()
+    assert suffix_array(data)[0].tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+
+
 def test_strings_odd_rows(spark):
     t = "".join(f"word{i} " for i in range(90))
     df = spark.createDataFrame([(1, t, "k"), (None, t, "l"), (1, None, None), (4, "", "m")], SCHEMA + ", carry_ string")
