@@ -14,7 +14,7 @@ from tabsieve.llm.decontamination import contaminated
 from tabsieve.llm.ngram_join import shingle_classes
 from tabsieve.llm.packing import default_tokenizer, pack, pieces
 from tabsieve.llm.quality import fit, score
-from tabsieve.llm.repeated_strings import remove_repeated_strings
+from tabsieve.llm.repeated_strings import PASSAGE, remove_repeated_strings
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.3
@@ -33,9 +33,9 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_strings(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without strings of 400 bytes that occur elsewhere; those of which nothing is left go."""
+    """Documents without passages of PASSAGE bytes (fifty words) that occur elsewhere, each occurrence of them; those of which nothing is left go."""
     others = [c for c in docs.columns if c != "text"]
-    out = remove_repeated_strings(docs, carry=others, as_text=True).where("n_removed = 0 or kept <> ''")
+    out = remove_repeated_strings(docs, length=PASSAGE, carry=others, as_text=True).where("n_removed = 0 or kept <> ''")
     columns = [F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("carry_.n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col("kept").alias(c) if c == "text" else F.col(f"carry_.`{c}`") for c in docs.columns]
     return out.select(*columns)
 
