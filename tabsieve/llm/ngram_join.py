@@ -5,7 +5,10 @@
    the threshold t only with a set that shares one of its n - ceil(t*n) + 1 rarest, so a document whose rarest ones
    occur nowhere else links with nothing and is done.
 3. The others are grouped by shared rare shingles, and every group is joined by a walk over a prefix tree of its sets
-   (see prefix_tree.py); a large group is split into blocks, and each pair of blocks is a task of its own.
+   (see prefix_tree.py).  A group may chain unrelated sets by boilerplate: one larger than a block is joined either as a
+   whole, by pairs of blocks, or for each of its rare shingles apart, whichever ships fewer sets (see cells()).
+
+Shingles are 64-bit hashes of words hashed to 64 bits; sets are compared by two sums of them.
 """
 
 from __future__ import annotations
@@ -135,6 +138,29 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return X.messages([(r[0], r[1], b"F" + _squeeze(code[a:b].tobytes())) for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)])
 
 
+def cells(tokens: DataFrame, group: DataFrame) -> DataFrame:
+    """(id, component, cell): which sets (id) of a group (component) are joined with one another.
+
+    tokens are (id, t), the rare shingles of each set; every pair that can link shares one.  A group of up to BLOCK sets
+    is one cell.  For a larger one, the sets shipped are counted both ways: as one cell of b blocks, each set goes to b
+    tasks; with a cell for each distinct list of sets that share a shingle, it goes to as many as it is listed in.
+    Chains of boilerplate take the second way, whose work grows with the group and not its square.
+    """
+    sizes = group.groupBy("component").agg(F.count("*").alias("m"))
+    large = sizes.where(F.col("m") > BLOCK)
+    whole = group.select("id", "component", F.lit(0).cast("long").alias("cell"))
+    if large.isEmpty():
+        return whole
+    held = saved(tokens.join(group.join(large, "component"), "id").select("id", "component", "m", "t"))
+    lists = held.groupBy("component", "m", "t").agg(F.count("*").alias("f"), F.min("id").alias("a"), F.max("id").alias("b"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h")).where("f > 1")
+    lists = lists.groupBy("component", "m", "f", "a", "b", "h").agg(F.min("t").alias("t"))  # equal lists once
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK))
+    cost = lists.groupBy("component", "m").agg(F.sum(F.col("f") * blocks("f")).alias("apart")).where(F.col("apart") < F.col("m") * blocks("m"))
+    parted = saved(lists.join(cost.select("component"), "component").select("component", "t"))
+    own = held.join(parted, ["component", "t"]).select("id", "component", F.col("t").alias("cell"))
+    return whole.join(parted.select("component").distinct(), "component", "left_anti").select("id", "component", "cell").unionByName(own)
+
+
 def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -220,15 +246,16 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = tokens.join(centre, "t").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
     group = components(stars).withColumnRenamed("node", "id")
 
-    # Blocks of a group: as many as keep a task's sets to BLOCK.
-    sizes = group.groupBy("component").agg(F.count("*").alias("m"))
-    dealt = group.join(sizes.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Blocks of a cell: as many as keep a task's sets to BLOCK.
+    held = cells(tokens, group)
+    sizes = held.groupBy("component", "cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = held.join(sizes, ["component", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A pair of blocks (i, j), i <= j, is a task; a set goes to every pair that has its block.
-    pairs = dealt.select("id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    pairs = dealt.select("id", "component", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     tasks = pairs.join(sets.select("id", "grams", "codes"), "id")
 
     def join(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
+        i, j = key[2].as_py(), key[3].as_py()
         ids = np.asarray(table.column("id").combine_chunks())
         own = np.asarray(table.column("block").combine_chunks())
         order = np.lexsort((ids, own != i))  # block i first
@@ -248,7 +275,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         u = [k for k in range(len(seqs)) if root[k] != k]
         return pa.table({"u": pa.array(ids[u], pa.int64()), "v": pa.array(ids[[root[k] for k in u]] if u else [], pa.int64())})
 
-    links = tasks.groupBy("component", "i", "j").applyInArrow(join, "u long, v long")
+    links = tasks.groupBy("component", "cell", "i", "j").applyInArrow(join, "u long, v long")
     found = components(links)
     out = rows.select("doc_id", "n_shingles", "owner").join(found.select(F.col("node").alias("owner"), "component"), "owner", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "owner", "doc_id").alias("component_id"))
