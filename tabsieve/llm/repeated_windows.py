@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .hashing import NOT_SPACE, Rolling, byte_values, mix, sliding_min, words_of
+from .hashing import NOT_SPACE, Rolling, byte_values, sliding_min, words_of
 
 _LAST = np.iinfo(np.int64).max
 
@@ -27,8 +27,9 @@ class _Chunk:
     def __init__(self, table: pa.Table, window: int):
         self.data, self.offsets = X.texts_of(table)
         self.start, self.end, self.doc = words_of(self.data, self.offsets, NOT_SPACE)
-        hashed = Rolling(byte_values(self.data)).spans(self.start, self.end)
-        self.words = (Rolling(hashed, 0), Rolling(mix(hashed ^ np.uint64(0x5851F42D4C957F2D)), 1))
+        values = byte_values(self.data)
+        # Two hashes of a word from its bytes, so that words that share one differ in the other.
+        self.words = tuple(Rolling(Rolling(values, k).spans(self.start, self.end), k) for k in (0, 1))
         self.window = window
         n = len(self.start)
         at = np.arange(max(0, n - window + 1))
