@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from .components import saved
 from .exchange import blocks, texts_of, tidy
-from .hashing import LOWER, NOT_SPACE, Rolling, byte_values, words_of
+from .hashing import LOWER, NOT_SPACE, Rolling, byte_values, mix, words_of
 
 MAX_LEN = 2048
 END_ID = 1
+#: Words of more bytes are told apart by their bytes.
+LONG = 64
 #: Texts that are encoded together.
 BLOCK_BYTES = 4_000_000
 _CACHE: dict[bytes, bytes] = {}
@@ -99,12 +101,16 @@ def _ids_of(words: list[bytes], tok) -> list[bytes]:
 
 def encode_texts(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.ndarray]:
     """Ids of texts that lie end to end as UTF-8 bytes, for tokenizers that lower-case and that part words at ASCII
-    white space and letters from a following full stop or comma.  Each distinct word is looked up once."""
+    white space and letters from a following full stop or comma.  Each distinct word is looked up once; words of up to
+    LONG bytes are distinguished by 64-bit hashes within a batch of texts, longer ones by their bytes."""
     tok = _tokenizer(path)
     data = LOWER[data]
     start, end, doc = words_of(data, offsets, NOT_SPACE)
-    _, first, place = np.unique(Rolling(byte_values(data)).spans(start, end), return_index=True, return_inverse=True)
-    raw = data.tobytes()
+    raw, hashed = data.tobytes(), Rolling(byte_values(data)).spans(start, end)
+    known: dict[bytes, int] = {}
+    for k in np.flatnonzero(end - start > LONG).tolist():  # long words could be built to collide: by their bytes
+        hashed[k] = mix(known.setdefault(raw[start[k] : end[k]], len(known)))
+    _, first, place = np.unique(hashed, return_index=True, return_inverse=True)
     ids = _ids_of([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], tok)
     size = np.array([len(i) for i in ids], dtype=np.int64) >> 2
     begin = np.cumsum(size) - size
