@@ -15,6 +15,8 @@ from .hashing import ALNUM_OR_HIGH, LOWER, NOT_SPACE, Rolling, byte_values, mix,
 BITS = 18
 #: Labelled rows that the classifier is fitted on at most, taken by the order of a hash of their ids.
 MAX_TRAIN = 20_000
+#: Times that the fit goes through the labelled rows.
+EPOCHS = 3
 #: Text whose features are held at once.
 BLOCK_BYTES = 1_000_000
 _MARK = np.uint64(0xA24BAED4963EE407)
@@ -72,7 +74,7 @@ def weights_of(count: np.ndarray) -> np.ndarray:
     return np.sqrt(count / max(count.sum(), 1))
 
 
-def ftrl(rows: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, int]]], bits: int = BITS, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> tuple[np.ndarray, float]:
+def ftrl(rows: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, int]]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> tuple[np.ndarray, float]:
     """Weights and bias of per-coordinate follow-the-proximally-regularised-leader (McMahan et al., 2013).
 
     rows() goes through the examples (indices, values, label) once more at each call.
@@ -120,21 +122,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: in
                 yield pa.record_batch({"o": t.column("o_").combine_chunks(), "id": t.column("id_").combine_chunks().cast(pa.int64()), "y": t.column("y_").combine_chunks(), "i": pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), "n": pa.array([n.astype("<u4").tobytes() for _, n in got], pa.binary())})
 
     def learn(batches):
-        held = [b for b in batches if b.num_rows]  # max_train rows at most, as they came
-        if not held:
-            return
+        seen = []
 
-        def rows():
-            for b in held:
+        def examples():
+            for b in batches:  # in the order of epochs, one batch in memory at a time
                 i, n, y = (b.column(b.schema.get_field_index(c)) for c in "iny")
                 for k in range(b.num_rows):
-                    count = np.frombuffer(n[k].as_buffer(), "<u4")
-                    yield np.frombuffer(i[k].as_buffer(), "<i4"), weights_of(count), y[k].as_py()
+                    seen[:] = [True]
+                    yield np.frombuffer(i[k].as_buffer(), "<i4"), weights_of(np.frombuffer(n[k].as_buffer(), "<u4")), y[k].as_py()
 
-        w, bias = ftrl(rows, bits)
-        yield pa.record_batch([pa.array([w.astype("<f8").tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["w", "bias"])
+        w, bias = ftrl(examples, bits, epochs=1)
+        if seen:
+            yield pa.record_batch([pa.array([w.astype("<f8").tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["w", "bias"])
 
-    got = rows.mapInArrow(vectorise, "o long, id long, y int, i binary, n binary").repartition(1).sortWithinPartitions("o", "id").mapInArrow(learn, "w binary, bias double").collect()
+    # A row for each epoch: the task that learns reads them in order and holds none of them.
+    rows = rows.mapInArrow(vectorise, "o long, id long, y int, i binary, n binary").withColumn("e", F.explode(F.array(*map(F.lit, range(EPOCHS)))))
+    got = rows.repartition(1).sortWithinPartitions("e", "o", "id").mapInArrow(learn, "w binary, bias double").collect()
     if not got:
         return np.zeros(1 << bits), 0.0
     return np.frombuffer(got[0][0], "<f8"), got[0][1]
