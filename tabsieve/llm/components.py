@@ -10,14 +10,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Folders that this process has written and not discarded yet.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tabsieve-checkpoints")
+    """The folder all executors share: spark.checkpoint.dir; in local mode, as in tests, a temporary one where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or os.path.join(tempfile.gettempdir(), "tabsieve-checkpoints")
+
+
+def new_folder(spark, name: str = "tabsieve") -> str:
+    """A path in the shared folder that is not in use; discard() removes what is written there."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def written() -> list[str]:
+    """Folders that saved() and new_folder() have handed out and discard() has not removed."""
+    return list(_WRITTEN)
+
+
+def discard(spark, folders: list[str]) -> None:
+    """Deletes folders whose tables are no longer needed."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in _WRITTEN:
+            _WRITTEN.remove(folder)
 
 
 def saved(df: DataFrame) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again; survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tabsieve-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

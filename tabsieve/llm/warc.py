@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import shared_dir
+from .components import new_folder
 
 # Fixed values of the formats (Zstandard frame format, RFC 8878; Zstandard in WARC, version 1.0).
 FRAME_MAGIC = 0xFD2FB528
@@ -226,6 +226,6 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     """Writes archives of all pages to the shared folder and reads them back."""
-    path = f"{shared_dir(spark)}/tabsieve-warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "tabsieve-warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archives(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
