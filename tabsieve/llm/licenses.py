@@ -8,7 +8,9 @@ only if all mandatory wording matches token by token.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,23 +21,57 @@ from .hashing import ALNUM_OR_HIGH, LOWER
 # Phrases that name a license, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Wording of well-known licenses, marked up.
+# Wording of well-known licenses and of the notices that name longer ones, marked up.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
+    <<optional>>and associated documentation files<<end>> (the "Software"), to deal in the Software without
+    restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+    sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do
+    so, subject to the following conditions: The above copyright notice and this permission notice
+    <<optional>>(including the next paragraph)<<end>> shall be included in all copies or substantial portions of
+    the Software."""
+_ISC = """Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or
+    without fee is hereby granted, provided that the above copyright notice and this permission notice appear in
+    all copies."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+    that the following conditions are met: <<optional>>1<<end>> Redistributions of source code must retain the
+    above copyright notice, this list of conditions and the following disclaimer. <<optional>>2<<end>>
+    Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+    following disclaimer in the documentation and/or other materials provided with the distribution."""
 TEMPLATES = {
-    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
-        <<optional>>and associated documentation files<<end>> (the "Software"), to deal in the Software without
-        restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
-        sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do
-        so, subject to the following conditions: The above copyright notice and this permission notice
-        <<optional>>(including the next paragraph)<<end>> shall be included in all copies or substantial portions of
-        the Software.""",
-    "isc-text": """Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or
-        without fee is hereby granted, provided that the above copyright notice and this permission notice appear in
-        all copies.""",
-    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
-        that the following conditions are met: <<optional>>1<<end>> Redistributions of source code must retain the
-        above copyright notice, this list of conditions and the following disclaimer. <<optional>>2<<end>>
-        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
-        following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "mit-permission": _MIT,
+    "mit-text": _MIT
+    + """ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+        TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+        <<var 20>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+        SOFTWARE.""",
+    "isc-permission": _ISC,
+    "isc-text": _ISC
+    + """ THE SOFTWARE IS PROVIDED "AS IS" AND <<var 20>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+        ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var 20>> BE LIABLE FOR ANY SPECIAL,
+        DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-conditions": _BSD,
+    "bsd-text": _BSD
+    + """ <<optional>>3<<end>> <<optional>>Neither the name of <<var 20>> nor the names of its contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission.<<end>> THIS
+        SOFTWARE IS PROVIDED BY <<var 20>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+        TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+        SHALL <<var 20>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+        OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+        ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors
+        be held liable for any damages arising from the use of this software. Permission is granted to anyone to use
+        this software for any purpose, including commercial applications, and to alter it and redistribute it freely,
+        subject to the following restrictions: <<optional>>1.<<end>> The origin of this software must not be
+        misrepresented; you must not claim that you wrote the original software. If you use this software in a
+        product, an acknowledgment in the product documentation would be appreciated but is not required.
+        <<optional>>2.<<end>> Altered source versions must be plainly marked as such, and must not be misrepresented
+        as being the original software. <<optional>>3.<<end>> This notice may not be removed or altered from any
+        source distribution.""",
     "apache-notice": """Licensed under the Apache License, Version 2.0 <<optional>>(the "License"); you may not use this
         file except in compliance with the License. You may obtain a copy of the License at
         <<var 8>> Unless required by applicable law or agreed to in writing, software distributed under the License is
@@ -44,6 +80,8 @@ TEMPLATES = {
         the GNU <<optional>>Lesser<<end>> <<optional>>Affero<<end>> General Public License as published by the Free
         Software Foundation, either version <<var 2>> of the License, or <<optional>>(at your option)<<end>> any later
         version.""",
+    "mpl-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+        was not distributed with this file, You can obtain one at <<var 6>>""",
     "mit-notice": """<<optional>>This software is<<end>> Released under the MIT License""",
 }
 
@@ -138,20 +176,31 @@ def compile_template(name: str, markup: str) -> tuple[Automaton, bytes]:
 
 
 def scan_text(text: bytes, automata: list[tuple[Automaton, bytes]]) -> tuple[int, list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Number of words; places of phrases, and of templates: (label, first word, word after last)."""
+    """Number of words; places of phrases, and of templates: (label, first word, word after last).
+
+    Each place at which a template's first wording stands is tried for the length of the template at most, so that
+    time grows with the text however often licenses repeat in it.
+    """
     words = words_of_text(text)
     line = b" ".join(words)
+    places: list[int] = []  # where words begin, made at the first hit
+
+    def number(at: int) -> int:
+        if not places:
+            places.extend(accumulate((len(w) + 1 for w in words), initial=0))
+        return bisect_left(places, at)
+
     base = []
     if b"license" in line:
         for m in _PHRASE.finditer(line):
-            at = line.count(b" ", 0, m.start())
+            at = number(m.start())
             base.append((PHRASES[m[0].decode()], at, at + m[0].count(b" ") + 1))
     found = []
     for a, start in automata:
         at = line.find(start)
         while at >= 0:
             if (at == 0 or line[at - 1] == 0x20) and line[at + len(start) : at + len(start) + 1] in (b"", b" "):
-                first = line.count(b" ", 0, at)
+                first = number(at)
                 end = a.accepts(words, first)
                 if end is not None:
                     found.append((a.name, first, end))
@@ -166,7 +215,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: doc_id, n_words, base and matches [(label, first word, word after last)].
 
     base holds all places of the naming phrases, matches those of accepted templates; null texts are empty.  Every
-    whole text is scanned; rows are independent of one another.
+    whole text is scanned; rows are independent of one another, so null and repeated ids are kept as they are.  An
+    empty table gives no rows.
     """
     automata = [compile_template(k, v) for k, v in (TEMPLATES if templates is None else templates).items()]
     spans = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from .decontamination import op6_benchmark_decontamination
-from .licenses import op3_license_scan
+from .licenses import PHRASES, TEMPLATES, op3_license_scan
 from .ngram_join import op9_ngram_jaccard_join
 from .packing import op8_packing
 from .quality import op10_quality_classifier
@@ -50,6 +52,24 @@ def _left_sql(name: str, length: int, whole: bool) -> str:
 {name} AS (SELECT doc_id, sum(n)::BIGINT AS n_removed, count(*) AS n_spans, unhex(string_agg(hex(p), '' ORDER BY x) || hex(any_value(b)[max(y) + 1:])) AS kept FROM {name}_piece JOIN d USING (doc_id) GROUP BY doc_id)"""
 
 
+def _phrase_sql(phrase: str) -> str:
+    return " AND ".join(f"{column} = '{word}'" for column, word in zip("abc", phrase.split(), strict=False))
+
+
+def _template_regex(markup: str) -> str:
+    """A template as a regular expression over words, each with a space before it; one space ends the text."""
+    out, leading, depth = "", True, 0
+    for part in re.split(r"(<<.*?>>)", markup):
+        if part.startswith("<<"):
+            depth += {"<<optional>>": 1, "<<end>>": -1}.get(part, 0)
+            if not leading:
+                out += {"<<optional>>": "(?:", "<<end>>": ")?"}.get(part) or f"(?: [^ ]+){{0,{part[5:-2].strip()}}}"
+        elif part.strip() and not (leading and depth):
+            leading = False
+            out += "".join(f" {w}" for w in re.findall(r"[0-9a-z]+", part.lower()))
+    return out + " "
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_suffix_array_dedup": f"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), {_left_sql("s", 400, False)}, {_left_sql("p", PASSAGE, True)}
@@ -68,18 +88,24 @@ later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION
 marked AS (SELECT words.doc_id, j, word, max((later.i IS NOT NULL)::INTEGER) OVER (PARTITION BY words.doc_id ORDER BY j ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM words LEFT JOIN later ON later.doc_id = words.doc_id AND later.i = words.j),
 kept AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (gone = 0), '') AS t FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
-    # For benchmarks whose items have ten tokens or more, as here; shorter ones have seeds of their own.
+    # Without seeds: equal tokens of every overlay of an item over a document.
     "op6_benchmark_decontamination": """
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-i AS (SELECT item_id, w, len(w) AS m FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5),
-tp AS (SELECT doc_id, w, unnest(range(0, len(w) - 9)) AS p FROM t WHERE len(w) >= 10),
-ip AS (SELECT item_id, w, m, unnest(range(0, m - 9)) AS q FROM i WHERE m >= 10),
-ts AS (SELECT doc_id, p, 0 AS mask, concat_ws(' ', w[p + 1], w[p + 2], w[p + 4], w[p + 7], w[p + 9], w[p + 10]) AS k FROM tp UNION ALL SELECT doc_id, p, 1, concat_ws(' ', w[p + 1], w[p + 2], w[p + 3], w[p + 6], w[p + 8], w[p + 10]) FROM tp),
-s AS (SELECT item_id, q, 0 AS mask, concat_ws(' ', w[q + 1], w[q + 2], w[q + 4], w[q + 7], w[q + 9], w[q + 10]) AS k FROM ip UNION ALL SELECT item_id, q, 1, concat_ws(' ', w[q + 1], w[q + 2], w[q + 3], w[q + 6], w[q + 8], w[q + 10]) FROM ip),
-h AS (SELECT DISTINCT doc_id, item_id, p - q AS off FROM ts JOIN s ON ts.mask = s.mask AND ts.k = s.k),
-e AS (SELECT h.doc_id, h.item_id, i.m, least(i.m, 20) AS width, list_transform(range(0, i.m), lambda j: CASE WHEN off + j >= 0 AND t.w[off + j + 1] = i.w[j + 1] THEN 1 ELSE 0 END) AS e FROM h JOIN t ON t.doc_id = h.doc_id JOIN i ON i.item_id = h.item_id),
-b AS (SELECT doc_id, item_id, m, width, list_sum(e) AS matched, list_max(list_transform(range(1, m - width + 2), lambda j: list_sum(e[j:j + width - 1]))) AS best FROM e)
+i AS (SELECT item_id, w, len(w) AS m, least(len(w), 20) AS width FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0),
+tp AS (SELECT doc_id, unnest(range(0, len(w))) AS p, unnest(w) AS word FROM t),
+ip AS (SELECT item_id, m, width, unnest(range(0, m)) AS q, unnest(w) AS word FROM i),
+o AS (SELECT DISTINCT doc_id, item_id, m, width, p - q AS off, q FROM tp JOIN ip USING (word)),
+e AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, off) AS matched FROM (SELECT o.* FROM o JOIN (SELECT doc_id, item_id, off FROM o GROUP BY ALL HAVING count(*) >= 0.8 * any_value(width)) USING (doc_id, item_id, off))),
+b AS (SELECT doc_id, item_id, m, width, matched, count(*) OVER (PARTITION BY doc_id, item_id, off ORDER BY q RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS best FROM e)
 SELECT doc_id, item_id, max(width)::INTEGER AS "window", max(best)::INTEGER AS overlap, max(matched)::INTEGER AS matched, max(m)::INTEGER AS item_tokens FROM b WHERE best >= 0.8 * width GROUP BY doc_id, item_id""",
+    "op3_license_scan": f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c FROM d),
+hits AS (SELECT doc_id, i, CASE {" ".join(f"WHEN {_phrase_sql(k)} THEN '{v}'" for k, v in PHRASES.items())} END AS label FROM words),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list_distinct(list(label)) AS labels FROM hits WHERE label IS NOT NULL GROUP BY doc_id),
+line AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS t, len(w) AS n FROM d),
+found AS (SELECT doc_id, n, list_filter([{", ".join(f"CASE WHEN regexp_matches(t, '{_template_regex(v)}') THEN '{k}' END" for k, v in TEMPLATES.items())}], lambda x: x IS NOT NULL) AS labels FROM line)
+SELECT found.doc_id, found.n::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), found.labels))), ',') AS labels, CASE WHEN len(found.labels) > 0 THEN 1.0 WHEN base.n > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM found LEFT JOIN base ON base.doc_id = found.doc_id""",
     "op7_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)

@@ -70,6 +70,25 @@ def test_shingle_classes(spark, monkeypatch, block):
     assert got == {i: (len(sets[i]), want[i]) for i in range(150)}
 
 
+def test_chains_of_boilerplate_grow_in_proportion(spark, monkeypatch):
+    """Documents of a line and the next one: one group, but tasks only for the documents that share a line."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    shipped = []
+    for n in (60, 120):
+        lines = [" ".join(f"l{i}w{k}" for k in range(12)) for i in range(n + 1)]
+        rows = [(i, f"{lines[i]} {lines[i + 1]}") for i in range(n)] + [(1000, lines[5] + " " + lines[6] + " end")]
+        held = []
+        real = ngram_join.cells
+        monkeypatch.setattr(ngram_join, "cells", lambda t, g, real=real, held=held: held.append(real(t, g)) or held[-1])
+        got = {r[0]: r[2] for r in shingle_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+        monkeypatch.setattr(ngram_join, "cells", real)
+        assert got == {**{i: i for i in range(n)}, 1000: 5}
+        sizes = [r[0] for r in held[0].groupBy("component", "cell").count().select("count").collect()]
+        assert max(sizes) <= 8
+        shipped.append(sum(sizes))
+    assert shipped[1] <= 2.2 * shipped[0]
+
+
 def test_shingle_classes_odd_rows(spark):
     t = " ".join(f"x{i}" for i in range(40))
     rows = [(3, t, 1), (3, t, 1), (None, t, 2), (9, t + " y", 3), (4, None, 4)]
@@ -107,6 +126,51 @@ def test_vector_links(spark, monkeypatch, block):
     assert linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vector_links_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(vector_links, "BLOCK", 8)
+    r = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(r.normal(size=(1, 6)), 40, 0), r.normal(size=(30, 6)), np.repeat(r.normal(size=(3, 6)), 5, 0)])
+    x = np.concatenate([x, x[:1] + 1e-3, x[60:64] * 2])
+    got = {r[0]: (r[1], r[2]) for r in linked_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    n, want = brute_links(x)
+    assert [got[i] for i in range(len(x))] == [(int(a), b) for a, b in zip(n, want, strict=True)]
+
+
+def test_two_levels_of_lists(monkeypatch):
+    monkeypatch.setattr(vector_links, "FLAT", 8)
+    r = np.random.default_rng(5)
+    x = vector_links._unit(r.normal(size=(3000, 12)))
+    q = vector_links.Quantiser(x, 40, 0.9)
+    assert q.lists == 40
+    middle = q.centroid(np.arange(40))
+    far = ((x[:200, None] - middle) ** 2).sum(2)
+    assert (q.nearest(x[:200], 3) == np.argsort(far, axis=1, kind="stable")[:, :3]).all()
+    away = r.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    y = 0.905 * x + np.sqrt(1 - 0.905**2) * vector_links._unit(away)
+    met = (q.nearest(y, q.probes) == q.nearest(x, 1)).any(1)
+    assert met.mean() >= 0.98 and q.probes < 40
+
+
+def test_recall_on_embeddings(spark):
+    """Against brute force with the production sizes, also over pairs just above the threshold."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r[0], np.array(r[1], dtype=float)) for r in table.collect()]
+    r = np.random.default_rng(8)
+    ids, x = [i for i, _ in rows], np.stack([v for _, v in rows])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    away = r.normal(size=unit.shape)
+    away -= (away * unit).sum(1, keepdims=True) * unit
+    near = 0.903 * unit + np.sqrt(1 - 0.903**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    every = np.concatenate([x, near])
+    ids += [10**6 + i for i in range(len(near))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, every, strict=True)], "vec_id long, embedding array<double>")
+    got = {r[0]: r[1] for r in linked_vectors(df).collect()}
+    n = brute_links(every)[0]
+    assert sum(got.values()) <= n.sum() and sum(got.values()) >= 0.99 * n.sum()
+    assert all(got[i] <= k for i, k in zip(ids, n, strict=True))
+
+
 def test_decontamination(spark, monkeypatch):
     rnd = random.Random(4)
     vocabulary = [f"t{i}" for i in range(300)]
@@ -126,7 +190,7 @@ def test_decontamination(spark, monkeypatch):
         docs.append((d, ", ".join(words).upper() if d % 2 else " ".join(words)))
     docs += [(None, items[2][1]), (200, None), (201, ""), (202, items[2][1]), (202, items[2][1])]
     want |= {(None, 2), (202, 2)}
-    monkeypatch.setattr(decontamination, "BLOCK_TOKENS", 60)  # several blocks of benchmark items
+    monkeypatch.setattr(decontamination, "BLOCK_SEEDS", 180)  # several blocks of benchmark items
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame([(*d, 1) for d in docs], SCHEMA + ", p int")
     got = [(r["doc_id"], r["item_id"]) for r in contaminated(df, bench).collect()]
@@ -136,6 +200,16 @@ def test_decontamination(spark, monkeypatch):
     assert contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items_and_runs(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_SEEDS", 9_000)
+    long = [f"n{i}" for i in range(5_000)]
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, "a " * 300), (3, "la la la la la la la la la la b")], "item_id long, text string")
+    docs = [(1, " ".join(long[4_000:4_016])), (2, " ".join(long[5:18])), (3, "a " * 500), (4, "x " + "la " * 30 + "b"), (5, "a " * 17 + "y"), (6, "a " * 9)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = {(r["doc_id"], r["item_id"]): (r["overlap"], r["matched"]) for r in contaminated(df, bench).collect()}
+    assert got == {(1, 1): (16, 16), (3, 2): (20, 300), (4, 3): (11, 11), (5, 2): (17, 17)}
+
+
 def test_masks_leave_a_seed():
     for width in range(1, 21):
         wrong = width - math.ceil(0.8 * width)

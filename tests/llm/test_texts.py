@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -43,7 +45,7 @@ def test_quotes(spark):
     got = [r.asDict() for r in quotes.link_quotes(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn int, role string, text string, path int")).collect()]
     assert len(got) == len(rows)
     by = {(g["conv_id"], g["turn"]): g for g in got}
-    assert [(by[1, t]["reply_to"], by[1, t]["depth"], by[1, t]["path"], by[1, t]["text"]) for t in (1, 2, 3, 4, 5)] == [(0, 1, [0, 1], "Fine."), (1, 2, [0, 1, 2], "Good"), (0, 1, [0, 3], "late"), (None, 0, [4], ""), (None, 0, [5], "own")]
+    assert [(by[1, t]["reply_to"], by[1, t]["depth"], by[1, t]["thread"], by[1, t]["text"]) for t in (1, 2, 3, 4, 5)] == [(0, 1, 0, "Fine."), (1, 2, 0, "Good"), (0, 1, 0, "late"), (None, 0, 4, ""), (None, 0, 5, "own")]
     assert by[2, 0]["reply_to"] is None and by[2, 2]["reply_to"] == 1
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
@@ -64,6 +66,65 @@ def test_partial_quotes(spark):
     assert got == {0: (None, 0, 0, 0), 1: (0, 1, 1, 1), 2: (0, 1, 1, 1), 3: (0, 1, 1, 1), 4: (None, 0, 0, 0), 5: (None, 0, 1, 0), 6: (4, 1, 1, 1), 7: (5, 1, 2, 2)}
 
 
+def nested_links(rows):
+    """Quotations by nested loops over the messages of each conversation."""
+    said = {(c, t): quotes.parsed(x) for c, t, _, x in rows}
+    reply, linked = {}, {}
+    for (c, t), (_, _, quoted) in said.items():
+        before = sorted(u for d, u in said if d == c and u < t)
+        found = []
+        for q in quoted:
+            of = [u for u in before if q["piece"] in said[c, u][1]][:1]
+            if not of:
+                firsts = {next((u for u in before if p["piece"] in said[c, u][1]), None) for p in q["parts"]} - {None}
+                held = {u: set().union(*(range(p["a"], p["b"] + 1) for p in q["parts"] if p["piece"] in said[c, u][1])) for u in firsts}
+                of = sorted(u for u in firsts if len(held[u]) == q["n"])[:1]
+            found += [(-q["level"], u) for u in of]
+        reply[c, t], linked[c, t] = max(found)[1] if found else None, len(found)
+    out = {}
+    for c, t in said:
+        root, depth = t, 0
+        while reply[c, root] is not None:
+            root, depth = reply[c, root], depth + 1
+        out[c, t] = (reply[c, t], root, depth, len(said[c, t][2]), linked[c, t])
+    return out
+
+
+def test_quotes_match_nested_loops(spark):
+    rnd = random.Random(12)
+    rows = []
+    for c in range(6):
+        told = []
+        for t in range(25):
+            lines = [" ".join(rnd.choice("abcdefghij") * 3 for _ in range(rnd.randint(2, 5))) for _ in range(rnd.randint(1, 5))]
+            if told and rnd.random() < 0.7:
+                old = rnd.choice(told).split("\n")
+                at = rnd.randrange(len(old))
+                lines = ["> " + x for x in old[at : at + rnd.randint(1, 4)]] + rnd.choice([[], [""]]) + lines
+            told.append("\n".join(lines))
+            rows.append((c, t, "a", told[-1]))
+    rows.append((9, 0, "a", "x " * 200_000))  # very long
+    rows.append((9, 1, "b", "> " + "x " * 200_000 + "\nso"))
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread"], r["depth"], r["n_quoted"], r["n_linked"]) for r in got} == nested_links(rows)
+    assert max(r["depth"] for r in got) > 3
+
+
+def test_license_scan_of_long_texts():
+    a = [licenses.compile_template(k, v) for k, v in licenses.TEMPLATES.items()]
+    start = time.monotonic()
+    n, base, found = licenses.scan_text(b"MIT license " * 200_000 + b"permission to use copy modify " * 50_000, a)
+    assert n == 650_000 and len(base) == 200_000 and base[-1] == ("mit", 399_998, 400_000) and not found
+    assert time.monotonic() - start < 30
+
+
+def test_full_wording_is_needed():
+    a = [licenses.compile_template(k, v) for k, v in licenses.TEMPLATES.items()]
+    text = licenses.TEMPLATES["mit-text"].replace("<<optional>>", "").replace("<<end>>", "").replace("<<var 20>>", "Jane Roe or the holders")
+    assert [f[0] for f in licenses.scan_text(text.encode(), a)[2]] == ["mit-permission", "mit-text"]
+    assert [f[0] for f in licenses.scan_text(text.replace("TORT", "WORT").encode(), a)[2]] == ["mit-permission"]
+
+
 def test_quote_levels():
     assert quotes.passages("a\n> b\n>> c\n> > d\ne") == [(0, "a"), (1, "b"), (2, "c\nd"), (0, "e")]
 
@@ -203,6 +264,17 @@ def test_leaks_without_id(spark):
     assert left.columns == ["doc_id", "text"] and {tuple(r) for r in left.collect()} == {rows[1], rows[2], rows[4]}
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql_gives_the_same_rows(spark, name):
+    db = duckdb.connect()
+    for table in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+    want = db.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    tidy = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    assert tidy(QUERIES[name](spark, SF).select(*columns).collect()) == tidy(want.fetchall())
+
+
 def test_queries_and_sql_names():
     assert {re.match(r"op(\d+)_", q)[1] for q in QUERIES} == {str(i) for i in range(1, 11)}
     assert set(ORACLE_SQL) <= set(QUERIES)
