@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.llm.components import saved
+from tabsieve.llm.components import discard, saved, written
 from tabsieve.llm.decontamination import contaminated
 from tabsieve.llm.ngram_join import shingle_classes
 from tabsieve.llm.packing import default_tokenizer, pack, pieces
@@ -66,8 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written as Parquet and read again; what a stage no longer needs is deleted."""
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(written())
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
+        done = [w for w in written() if w not in kept]
+        discard(spark, done[:-1])  # all but the table just written
     return STAGES[-1][1](spark, docs, sf_dir)
