@@ -40,6 +40,16 @@ def normal_ppf_col(column):
     return _column(normal_ppf, column)
 
 
+def lognormal_cdf_col(column, loc: float = 0.0, scale: float = 1.0):
+    """The lognormal distribution function of a column, by Arrow batches; 0 for what is not positive."""
+    return _column(lambda x: np.where(np.asarray(x) > 0, normal_cdf((np.log(np.maximum(np.asarray(x, dtype=float), 1e-300)) - loc) / scale), 0.0), column)
+
+
+def lognormal_ppf_col(column, loc: float = 0.0, scale: float = 1.0):
+    """The lognormal quantile function of a column, by Arrow batches."""
+    return _column(lambda p: np.exp(loc + scale * normal_ppf(p)), column)
+
+
 def beta_inc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function, by Lentz's continued fraction."""
     if x <= 0 or x >= 1:

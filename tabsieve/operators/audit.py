@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -14,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binning import apply_bins, bin_edges, canonical_codes
-from .frames import categorical_columns, folds, numeric_columns
+from .frames import categorical_columns, folds, numeric_columns, quantile, quantiles
 from .rules import mine_rules, violated
 
+#: Rows under which a table is small, and jobs that run side by side.
+SMALL, JOBS = 50_000, 8
 MODES = ("full", "lse_only", "nic_only", "rules_only", "lse_nic")
 
 
@@ -80,8 +84,11 @@ class Auditor:
 
     config: AuditConfig = field(default_factory=AuditConfig)
 
-    def fit(self, real: DataFrame, columns: list[str] | None = None) -> Auditor:
+    def fit(self, real: DataFrame, columns: list[str] | None = None, progress: Callable[[int, int, str], None] | None = None) -> Auditor:
+        """Fits on real; progress(step, steps, what) is called before each of three steps, if given."""
         c = self.config
+        tell = progress or (lambda *_: None)
+        tell(1, 3, "rules")
         columns = columns or real.columns
         self.numeric = [x for x in numeric_columns(real) if x in columns]
         self.categorical = [x for x in categorical_columns(real) if x in columns]
@@ -91,49 +98,67 @@ class Auditor:
         self.constant = {x for x in self.numeric if n[x] <= 1}
         self.real = real
         binned = apply_bins(real, self.columns, self.edges, self.constant).select(*self.columns).fillna("nan", self.columns)
-        binned = binned.withColumn("k_", F.xxhash64(*self.columns, F.monotonically_increasing_id())).cache()
-        self.distinct = {r[0]: r[1] for r in [(x, binned.select(x).distinct().count()) for x in self.columns]}
+        # Equal rows may swap their folds: a hash of the values gives the same folds however the rows are partitioned.
+        binned = binned.withColumn("k_", F.xxhash64(*self.columns)).cache()
+        found = binned.agg(F.count("*").alias("rows_"), *[F.count_distinct(x).alias(x) for x in self.columns]).first()
+        self.rows, self.distinct = found["rows_"], {x: found[x] for x in self.columns}
+        if self.rows < SMALL:  # the jobs of a small table run side by side, one task each
+            binned = binned.coalesce(1)
         self.rules = mine_rules(binned, self.columns, c.min_confidence, c.min_support, c.max_rules, c.min_lift, c.max_antecedents).collect() if c.mode in ("full", "rules_only") else []
         self.sentinels: dict[str, tuple[PipelineModel, list[str], float]] = {}
-        if c.mode in ("full", "lse_only", "lse_nic"):
-            self._fit_sentinels(binned)
         self.continuity: dict[str, tuple] = {}
-        if c.mode in ("full", "nic_only", "lse_nic"):
-            self._fit_continuity(real)
+        self.hubs: list[str] = []
+        with ThreadPoolExecutor(JOBS) as pool:
+            tell(2, 3, "sentinels")
+            if c.mode in ("full", "lse_only", "lse_nic"):
+                self._fit_sentinels(binned, pool)
+            tell(3, 3, "continuity")
+            if c.mode in ("full", "nic_only", "lse_nic"):
+                self._fit_continuity(real.coalesce(1) if self.rows < SMALL else real, pool)
         return self
 
     def hub_scores(self, binned: DataFrame) -> list[tuple[str, float]]:
         """Columns by how well the others foretell them: accuracy of the majority class among rows that share the
-        value of the best other column, an aggregate per pair; columns of 1 class or very many are left out."""
-        rows = binned.count()
-        usable = [x for x in self.columns if x not in self.config.hub_exclude and self.distinct[x] > 1 and not (self.distinct[x] > self.config.high_cardinality and self.distinct[x] > 0.15 * rows)]
-        out = []
-        for y in usable:
-            best = 0.0
-            for x in self.columns:
-                if x != y:
-                    n = binned.groupBy(x, y).count().groupBy(x).agg(F.max("count").alias("m"))
-                    best = max(best, n.agg(F.sum("m")).first()[0] / rows)
-            out.append((y, best))
-        return sorted(out, key=lambda t: (-t[1], self.columns.index(t[0])))
-
-    def _fit_sentinels(self, binned: DataFrame) -> None:
+        value of the best other column; columns of 1 class or very many are left out.  All pairs are counted in one pass."""
+        usable = [x for x in self.columns if x not in self.config.hub_exclude and self.distinct[x] > 1 and not (self.distinct[x] > self.config.high_cardinality and self.distinct[x] > 0.15 * self.rows)]
+        pairs = [(a, b) for k, b in enumerate(self.columns) for a in self.columns[:k]]
+        best = dict.fromkeys(usable, 0.0)
+        if pairs:
+            each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("e")
+            n = binned.select(each).groupBy("e.a", "e.b", "e.u", "e.v").agg(F.count("*").alias("n"))
+            sides = n.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("u").alias("value"), "n").unionByName(n.select(F.col("b").alias("x"), F.col("a").alias("y"), F.col("v").alias("value"), "n"))
+            right = sides.groupBy("x", "y", "value").agg(F.max("n").alias("n")).groupBy("x", "y").agg(F.sum("n").alias("n"))
+            for r in right.groupBy("y").agg(F.max("n").alias("n")).collect():  # a row a column
+                if r["y"] in best:
+                    best[r["y"]] = r["n"] / self.rows
+        return sorted(best.items(), key=lambda t: (-t[1], self.columns.index(t[0])))
+
+    def _fit_sentinels(self, binned: DataFrame, pool: ThreadPoolExecutor) -> None:
         c = self.config
-        self.hubs = [h for h, _ in self.hub_scores(binned)[: c.hubs]]
+        chosen = [h for h, _ in self.hub_scores(binned)[: c.hubs]]
+        self.hubs = [h for h in chosen if len(self.columns) > 1]
+        fits = {}
         for hub in self.hubs:
             others = [x for x in self.columns if x != hub]
-            if not others:
-                continue
             forest = RandomForestClassifier(labelCol="y_", featuresCol="sx", numTrees=max(10, c.epochs * c.trees_per_epoch), maxDepth=c.depth, minInstancesPerNode=5, featureSubsetStrategy="log2", seed=c.seed)
             index = StringIndexer(inputCol=hub, outputCol="y_", handleInvalid="keep", stringOrderType="alphabetAsc")
             pipe = Pipeline(stages=[*_encoding(others, "s"), index, forest])
             dealt = folds(binned, "k_", hub, 2, c.seed).cache()
-            found = []
-            for f in range(2):  # probabilities of rows that a forest has not seen stand for out-of-bag ones
-                model = pipe.fit(dealt.where(F.col("fold_") != f))
-                found.append(self._observed(model, dealt.where(F.col("fold_") == f), hub).select("p_"))
-            floor = found[0].unionByName(found[1]).agg(F.percentile("p_", c.confidence_percentile / 100)).first()[0]
-            self.sentinels[hub] = (pipe.fit(binned), others, max(float(floor or 0.0), c.confidence_floor))
+            if self.rows < SMALL:
+                dealt = dealt.coalesce(1)
+            fits[hub] = dealt, others, [pool.submit(pipe.fit, dealt.where(F.col("fold_") != f)) for f in range(2)], pool.submit(pipe.fit, binned)
+
+        def floor_of(hub: str) -> float:
+            dealt, _, halves, _ = fits[hub]
+            # Probabilities of rows that a forest has not seen stand for out-of-bag ones.
+            found = [self._observed(m.result(), dealt.where(F.col("fold_") == f), hub).select("p_") for f, m in enumerate(halves)]
+            return max(float(quantile(found[0].unionByName(found[1]), "p_", c.confidence_percentile / 100) or 0.0), c.confidence_floor)
+
+        models = {hub: fits[hub][3].result() for hub in self.hubs}
+        for fit in fits.values():
+            wait(fit[2])
+        floors = list(pool.map(floor_of, self.hubs))
+        self.sentinels = {hub: (models[hub], fits[hub][1], floor) for hub, floor in zip(self.hubs, floors, strict=True)}
 
     @staticmethod
     def _observed(model: PipelineModel, df: DataFrame, hub: str) -> DataFrame:
@@ -145,25 +170,28 @@ class Auditor:
         drop = [x for x in out.columns if x not in df.columns and x != "p_"]
         return out.withColumn("p_", F.when(place >= 0, own).otherwise(0.0)).drop(*[d for d in drop])
 
-    def _fit_continuity(self, real: DataFrame) -> None:
+    def _fit_continuity(self, real: DataFrame, pool: ThreadPoolExecutor) -> None:
         c = self.config
-        targets = [x for x in self.numeric if x not in getattr(self, "hubs", []) and x not in self.constant]
-        for y in targets:
+        targets = [x for x in self.numeric if x not in self.hubs and x not in self.constant]
+        stats = real.agg(F.lit(0), *[f(x) for x in targets for f in (F.avg, F.stddev_pop)]).first()[1:]
+
+        def model_of(y: str, m: float | None, sd: float | None) -> tuple | None:
             context = self.categorical or [x for x in self.columns if x != y]
-            if not context:
-                continue
-            rows = self._with_context(real, context).where(F.col(y).isNotNull())
-            m, sd = rows.agg(F.avg(y), F.stddev_pop(y)).first()
-            if not sd:
-                continue
-            rows = rows.withColumn("z_", (F.col(y).cast("double") - m) / sd)
+            if not context or not sd:
+                return None
+            rows = self._with_context(real, context).where(F.col(y).isNotNull()).withColumn("z_", (F.col(y).cast("double") - m) / sd)
             kind = GBTRegressor(labelCol="z_", featuresCol="cx", maxIter=100, maxDepth=5, stepSize=0.1, minInstancesPerNode=20, seed=c.seed) if c.continuity == "boosted" else RandomForestRegressor(labelCol="z_", featuresCol="cx", numTrees=20, maxDepth=5, minInstancesPerNode=20, seed=c.seed)
             model = Pipeline(stages=[*_encoding([f"t_{x}" for x in context], "c"), kind]).fit(rows)
             res = model.transform(rows).select(F.abs(F.col("z_") - F.col("prediction")).alias("r"), "prediction").cache()
-            p95, p98, med, spread = res.agg(F.percentile("r", 0.95), F.percentile("r", 0.98), F.percentile("r", 0.5), F.stddev_pop("prediction")).first()
-            mad = res.agg(F.percentile(F.abs(F.col("r") - med), 0.5)).first()[0]
+            spread = res.agg(F.stddev_pop("prediction")).first()[0]
+            p95, p98, med = quantiles(res, ["r"], [0.95, 0.98, 0.5])["r"]
+            mad = quantile(res.select(F.abs(F.col("r") - med).alias("r")), "r", 0.5)
+            res.unpersist()
             z = max(p95, med + 2 * mad)
-            self.continuity[y] = (model, context, m, sd, z, max(p98, 2 * z, 3 * mad, 0.1), spread < c.collapse)
+            return model, context, m, sd, z, max(p98, 2 * z, 3 * mad, 0.1), spread < c.collapse
+
+        done = pool.map(model_of, targets, stats[::2], stats[1::2])
+        self.continuity = {y: fit for y, fit in zip(targets, done, strict=True) if fit}
 
     def _with_context(self, df: DataFrame, context: list[str]) -> DataFrame:
         text = apply_bins(df.select("*", *[F.col(x).alias(f"o_{x}") for x in context]), context, self.edges, self.constant)

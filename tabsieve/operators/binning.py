@@ -6,21 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .frames import quantiles
+
 BINS = 10
 
 
 def bin_edges(df: DataFrame, columns: list[str], bins: int = BINS) -> dict[str, list[float] | None]:
-    """Inner and outer quantile edges of each numeric column, duplicates dropped, from one aggregation.
+    """Inner and outer quantile edges of each numeric column, duplicates dropped.
 
     None for columns that are not numeric or have no more distinct values than bins.
     """
     numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType | T.BooleanType)]
     if not numeric:
         return dict.fromkeys(columns)
-    marks = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
     x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in numeric}
-    row = df.agg(*[F.percentile(x[c], marks).alias(f"q_{c}") for c in numeric], *[F.count_distinct(x[c]).alias(f"n_{c}") for c in numeric]).first()
-    return {c: sorted(set(row[f"q_{c}"])) if c in numeric and row[f"n_{c}"] > bins else None for c in columns}
+    row = df.agg(*[F.count_distinct(x[c]).alias(f"n_{c}") for c in numeric]).first()
+    many = [c for c in numeric if row[f"n_{c}"] > bins]
+    found = quantiles(df, many, [k / bins for k in range(bins + 1)])
+    return {c: sorted(set(found[c])) if c in many else None for c in columns}
 
 
 def bin_label(column: str, edges: list[float], prefix: str = "bin_") -> Column:
@@ -71,8 +74,8 @@ def canonical_codes(real: DataFrame, synthetic: DataFrame, columns: list[str], m
 
 def encoder(real: DataFrame, numeric: list[str], categorical: list[str]) -> Column:
     """A vector (array of doubles): numbers with nulls as the median, standardised; categories one-hot with nulls as the
-    most frequent one (the smallest of ties) and unknown ones as zeros.  Fitted on the real table in two aggregations."""
-    med = real.agg(*[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(c) for c in numeric]).first() if numeric else {}
+    most frequent one (the smallest of ties) and unknown ones as zeros.  Fitted on the real table."""
+    med = {c: q[0] if q else 0.0 for c, q in quantiles(real, numeric, [0.5]).items()}
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c])) for c in numeric}
     stats = real.agg(F.lit(0), *[F.avg(filled[c]).alias(f"m_{c}") for c in numeric], *[F.stddev_pop(filled[c]).alias(f"s_{c}") for c in numeric], *[F.mode(F.col(c), True).alias(f"o_{c}") for c in categorical], *[F.sort_array(F.collect_set(c)).alias(f"v_{c}") for c in categorical]).first()
     parts = [(filled[c] - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0) for c in numeric]

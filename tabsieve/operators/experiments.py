@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import hash_order, running
+from .frames import hash_order, quantile, quantiles, running
 
 
 def chance(key: Column, seed: int, label: str = "") -> Column:
@@ -53,7 +53,9 @@ def inject_cells(df: DataFrame, key: str, columns: list[str], level: float, seed
 def drop_features(df: DataFrame, key: str, numeric: list[str], categorical: list[str], level: float, seed: int = 42) -> DataFrame:
     """In rows picked with probability level, half of the columns set to the median or most frequent value."""
     cols = [*numeric, *categorical]
-    fill = df.agg(*[F.percentile(c, 0.5).alias(c) for c in numeric], *[F.mode(F.col(c), True).alias(c) for c in categorical]).first()
+    fill = {c: q[0] if q else None for c, q in quantiles(df, numeric, [0.5]).items()}
+    if categorical:
+        fill |= df.agg(*[F.mode(F.col(c), True).alias(c) for c in categorical]).first().asDict()
     hit = chance(F.col(key), seed, "d") < level
     order = F.sort_array(F.array(*[F.struct(F.md5(F.concat(F.lit(f"{c}{seed}~"), F.col(key).cast("string"))), F.lit(c).alias("c")) for c in cols]))
     gone = F.transform(F.slice(order, 1, len(cols) // 2), lambda x: x["c"])
@@ -62,7 +64,7 @@ def drop_features(df: DataFrame, key: str, numeric: list[str], categorical: list
 
 def covariate_shift(df: DataFrame, key: str, column: str, n: int, seed: int = 42) -> DataFrame:
     """n rows, by hash order, of those at or above the upper quartile of a column."""
-    edge = df.agg(F.percentile(column, 0.75)).first()[0]
+    edge = quantile(df, column, 0.75)
     return df.where(F.col(column) >= F.lit(edge)).orderBy(hash_order(F.col(key), seed), key).limit(n)
 
 
@@ -90,7 +92,7 @@ def strongest_pair(df: DataFrame, columns: list[str]) -> tuple[str, str]:
 def conditional_swap(df: DataFrame, key: str, columns: list[str], level: float, seed: int = 42) -> DataFrame:
     """In picked rows the second column of the most correlated pair takes a value from the other half of the first."""
     a, b = strongest_pair(df, columns)
-    med = df.agg(F.percentile(a, 0.5)).first()[0]
+    med = quantile(df, a, 0.5)
     half = (F.col(a) > F.lit(med)).cast("int")
     counts = dict(df.where(F.col(a).isNotNull()).groupBy(half.alias("h")).count().collect())
     pools = [_places(df.where(half == h).select(key, b), key, seed + 7 + h).select((F.lit(1 - h)).alias("half_"), F.col("place_").alias("want_"), F.struct(F.col(b).alias("new_")).alias("s_")) for h in (0, 1)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,14 +95,16 @@ def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 42) -> DataFr
 FILLS = ("dropna", "mean", "median", "zero", "forward", "value")
 
 
-def running(n: DataFrame, by: list[str], order: str, sums: list[str], parts: int = 64) -> DataFrame:
+def running(n: DataFrame, by: list[str], order: str, sums: list[str], parts: int | None = None) -> DataFrame:
     """n with run_<c> for each of sums: its running total over ascending `order` within `by`, the row itself included.
 
     `order` must be distinct within `by`.  Values are dealt to ranges of about equally many rows, so that no task sorts
-    a whole column; only range totals (parts + 1 for each group) are summed in one place.
+    a whole column; only range totals (parts + 1 for each group) are summed in one place.  There are as many ranges as
+    shuffle partitions, 64 to 1,000, unless given.
     """
+    parts = parts or min(1000, max(64, int(n.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     marks = F.array(*[F.lit(k / parts) for k in range(1, parts)])
-    edges = n.groupBy(*by).agg(F.percentile_approx(order, marks, F.lit(2000)).alias("edges_"))  # a row a group
+    edges = n.groupBy(*by).agg(F.percentile_approx(order, marks, F.lit(max(2000, 10 * parts))).alias("edges_"))  # a row a group
     x = n.join(F.broadcast(edges), by).withColumn("range_", F.size(F.filter("edges_", lambda e: e < F.col(order)))).drop("edges_")
     total = x.groupBy(*by, "range_").agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
     w = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,6 +114,49 @@ def running(n: DataFrame, by: list[str], order: str, sums: list[str], parts: int
     return x.withColumns({f"run_{c}": F.col(f"own_{c}") + F.col(f"before_{c}") for c in sums}).drop("range_", *[f"own_{c}" for c in sums], *[f"before_{c}" for c in sums])
 
 
+#: Rows whose distinct values one aggregation buffer holds; quantiles of more come from running totals over ranges.
+BUFFERED = 1_000_000
+
+
+def _between(low: Column, high: Column, place: Column) -> Column:
+    return low + (high - low) * (place - F.floor(place))
+
+
+def quantile_rows(n: DataFrame, by: list[str], value: str, count: str, shares: list[float]) -> DataFrame:
+    """(by..., q): exact quantiles, linear between neighbouring rows, from counts by distinct value.
+
+    Running totals over ranges of values replace a buffer of all distinct values, so any number of them will do.
+    """
+    total = n.groupBy(*by).agg(F.sum(count).alias("total_"))  # a row a group
+    run = running(n.select(*by, value, count), by, value, [count]).join(F.broadcast(total), by)
+    place = lambda q: F.lit(float(q)) * (F.col("total_") - 1)
+    first = lambda at: F.min(F.when(F.col(f"run_{count}") > at, F.col(value)))
+    got = run.groupBy(*by, "total_").agg(*[first(f(place(q))).alias(f"{k}_{i}") for i, q in enumerate(shares) for k, f in (("lo", F.floor), ("hi", F.ceil))])
+    return got.select(*by, F.array(*[_between(F.col(f"lo_{i}"), F.col(f"hi_{i}"), place(q)) for i, q in enumerate(shares)]).alias("q"))
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float] | None]:
+    """Exact quantiles of numeric columns, linear between neighbouring rows; None for a column without values.
+
+    Nulls and NaN are left out.  Up to BUFFERED rows are taken in one aggregation, more by counts of their values; the
+    results are the same.
+    """
+    x = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    if not columns:
+        return {}
+    if x.limit(BUFFERED + 1).count() <= BUFFERED:
+        row = x.agg(*[F.percentile(F.col(f"`{c}`"), F.array(*map(F.lit, map(float, shares)))) for c in columns]).first()
+        return {c: list(v) if v else None for c, v in zip(columns, row, strict=True)}
+    n = x.unpivot([], columns, "col", "v").where("v is not null").groupBy("col", "v").agg(F.count("*").alias("k"))
+    found = {r["col"]: list(r["q"]) for r in quantile_rows(n, ["col"], "v", "k", shares).collect()}  # a row a column
+    return {c: found.get(c) for c in columns}
+
+
+def quantile(df: DataFrame, column: str, share: float) -> float | None:
+    """One exact quantile of a column."""
+    return (quantiles(df, [column], [share])[column] or [None])[0]
+
+
 def fill(df: DataFrame, column: str, how: str = "dropna", value: float | None = None, order: str | None = None) -> DataFrame:
     """A numeric column without nulls: dropped, or filled by mean, median, zero, a value, or the nearest row before.
 
@@ -127,8 +174,8 @@ def fill(df: DataFrame, column: str, how: str = "dropna", value: float | None =
             raise ValueError("fill method 'value' needs a value")
         return df.withColumn(column, F.coalesce(column, F.lit(float(value))))
     if how in ("mean", "median"):
-        stat = F.avg(column) if how == "mean" else F.percentile(column, 0.5)
-        return df.crossJoin(F.broadcast(df.agg(F.coalesce(stat, F.lit(0.0)).alias("stat_")))).withColumn(column, F.coalesce(column, "stat_")).drop("stat_")
+        stat = df.agg(F.avg(column)).first()[0] if how == "mean" else quantile(df, column, 0.5)
+        return df.withColumn(column, F.coalesce(column, F.lit(float(stat or 0.0))))
     if how == "forward":
         if order is None:
             raise ValueError("fill method 'forward' needs an order column")
@@ -136,23 +183,31 @@ def fill(df: DataFrame, column: str, how: str = "dropna", value: float | None =
     raise ValueError(f"unknown fill method {how!r}; use one of {FILLS}")
 
 
-def _forward(df: DataFrame, column: str, order: str, size: int = 10_000) -> DataFrame:
-    """Carries values forward over ranges of the order column; only each range's last value crosses ranges."""
-    n = df.count()
-    parts = max(1, min(200, n // size))
-    edges = df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
-    part = F.lit(0)
-    for e in sorted(set(edges)):
-        part = part + F.when(F.col(order) > e, 1).otherwise(0)
-    df = df.withColumn("part_", part)
+def _forward(df: DataFrame, column: str, order: str, size: int = 10_000, most: int = 10_000) -> DataFrame:
+    """Carries values forward over ranges of the order column; only each range's last value crosses ranges.
+
+    There is a range for every `size` rows, up to `most`; rows find theirs among the edges in two steps.
+    """
+    parts = max(1, min(most, df.count() // size))
+    edges = sorted(set(df.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    step = max(1, math.isqrt(len(edges)))
+    groups = [edges[k : k + step] for k in range(0, len(edges), step)] or [[]]
+    passed = lambda values: F.size(F.filter(values, lambda e: e < F.col(order)))
+    if edges:
+        heads = F.array(*[F.lit(g[0]) for g in groups])
+        coarse = F.greatest(passed(heads) - 1, F.lit(0))
+        df = df.withColumn("part_", coarse * step + passed(F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), coarse)))
+    else:
+        df = df.withColumn("part_", F.lit(0))
     last = df.where(F.col(column).isNotNull()).groupBy("part_").agg(F.max_by(column, order).alias("v_"), F.min_by(column, order).alias("f_")).collect()  # a row a range
-    known = sorted((r[0], r[1]) for r in last)
-    first = min(((r[0], r[2]) for r in last), default=(0, 0.0))[1]
-    carried = F.lit(float(first))
-    for p, v in known:
-        carried = F.when(F.col("part_") > p, F.lit(float(v))).otherwise(carried)
+    known = {r[0]: r[1] for r in last}
+    carried, rows = min(((r[0], r[2]) for r in last), default=(0, 0.0))[1], []
+    for p in range(len(edges) + 1):
+        rows.append((p, float(carried)))
+        carried = known.get(p, carried)
+    before = df.sparkSession.createDataFrame(rows, "part_ int, carried_ double")
     inside = F.last(column, ignorenulls=True).over(Window.partitionBy("part_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(column, F.coalesce(inside, carried)).drop("part_")
+    return df.withColumn("inside_", inside).join(F.broadcast(before), "part_").withColumn(column, F.coalesce("inside_", "carried_")).drop("part_", "inside_", "carried_")
 
 
 def standardise(df: DataFrame, columns: list[str], eps: float = 1e-9) -> DataFrame:

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.distributions import normal_cdf, normal_ppf, t_cdf
-from .frames import where_filters
+from ..functions.distributions import normal_cdf, normal_ppf
+from . import vine
+from .frames import quantiles, where_filters
+from .vine import tail_dependence
 
 log = logging.getLogger(__name__)
 
@@ -24,10 +26,11 @@ log = logging.getLogger(__name__)
 def numeric_marginals(df: DataFrame, columns: list[str]) -> DataFrame:
     """(col, kind, loc, scale, low, high, median): 'lognormal' for positive columns of skewness over 1, else 'normal'."""
     x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    median = quantiles(df, columns, [0.5])
     parts = []
     for c in columns:
         v = F.when(x[c] > 0, F.ln(F.when(x[c] > 0, x[c])))
-        parts.append(F.struct(F.lit(c).alias("col"), F.avg(x[c]).alias("m"), F.stddev_pop(x[c]).alias("sd"), F.coalesce(F.skewness(x[c]), F.lit(0.0)).alias("skew"), F.min(x[c]).alias("low"), F.max(x[c]).alias("high"), F.percentile(x[c], 0.5).alias("median"), F.avg(v).alias("lm"), F.stddev_pop(v).alias("ls")))
+        parts.append(F.struct(F.lit(c).alias("col"), F.avg(x[c]).alias("m"), F.stddev_pop(x[c]).alias("sd"), F.coalesce(F.skewness(x[c]), F.lit(0.0)).alias("skew"), F.min(x[c]).alias("low"), F.max(x[c]).alias("high"), F.lit(median[c][0] if median[c] else None).cast("double").alias("median"), F.avg(v).alias("lm"), F.stddev_pop(v).alias("ls")))
     rows = df.agg(F.array(*parts).alias("a")).select(F.inline("a"))
     log_ = (F.col("skew") > 1) & (F.col("low") > 0)
     scale = F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
@@ -101,25 +104,13 @@ class GaussianCopula(BaseGenerator):
                 mg = self.marginals[c]
                 mg["loc"], mg["scale"] = (1 - w) * mg["loc"] + w * m, math.sqrt((1 - w) * mg["scale"] ** 2 + w * s**2)
         self.shares = {c: categorical_marginal(df, c).toPandas() for c in self.labels}  # a row a category
-        held = (self.marginals, self.shares)
         columns = [*self.numbers, *self.labels]
         self.columns = columns
+        me = self._bare()
 
         def normal_scores(batches):
-            mg, sh = held
             for b in batches:
-                out = {}
-                for c in b.columns:
-                    if c in mg:
-                        m = mg[c]
-                        x = b[c].astype(float).fillna(m["median"] if m["median"] is not None else 0.0)
-                        z = (np.log(np.maximum(x, 1e-300)) if m["kind"] == "lognormal" else x) - (m["loc"] or 0.0)
-                        u = normal_cdf(z / (m["scale"] or 1.0))
-                    else:
-                        mid = dict(zip(sh[c]["value"], sh[c]["mid"], strict=True))
-                        u = b[c].astype(object).map(lambda v, mid=mid: mid.get(v, 0.5)).to_numpy(dtype=float)
-                    out[c] = normal_ppf(np.clip(u, 1e-6, 1 - 1e-6))
-                yield pd.DataFrame(out)
+                yield pd.DataFrame({c: normal_ppf(np.clip(me._ranks(c, b[c].astype(float)) if c in me.marginals else me._midpoints(c, b[c]), 1e-6, 1 - 1e-6)) for c in b.columns})
 
         d = len(columns)
         text = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in self.numbers], *[F.col(f"`{c}`").cast("string").alias(c) for c in self.labels])
@@ -132,6 +123,23 @@ class GaussianCopula(BaseGenerator):
             r[i, j] = r[j, i] = cov / (sd[i] * sd[j]) if cov is not None and sd[i] and sd[j] else 0.0
         self.correlation = self._positive(r)
 
+    def _bare(self) -> GaussianCopula:
+        """A copy without the session, for tasks."""
+        out = type(self).__new__(type(self))
+        out.__dict__.update({k: v for k, v in self.__dict__.items() if k not in ("spark", "schema")})
+        return out
+
+    def _ranks(self, column: str, x: pd.Series) -> np.ndarray:
+        """Values of the fitted distribution function; unknown ones stand at the median."""
+        m = self.marginals[column]
+        x = x.fillna(m["median"] if m["median"] is not None else 0.0)
+        z = (np.log(np.maximum(x, 1e-300)) if m["kind"] == "lognormal" else x) - (m["loc"] or 0.0)
+        return normal_cdf(z / (m["scale"] or 1.0))
+
+    def _midpoints(self, column: str, x: pd.Series) -> np.ndarray:
+        mid = dict(zip(self.shares[column]["value"], self.shares[column]["mid"], strict=True))
+        return x.astype(object).map(lambda v: mid.get(v, 0.5)).to_numpy(dtype=float)
+
     @staticmethod
     def _positive(r: np.ndarray) -> np.ndarray:
         r = np.nan_to_num(r) + 1e-10 * np.eye(len(r))
@@ -169,17 +177,13 @@ class GaussianCopula(BaseGenerator):
         return out
 
     def _generate(self, n: int, filters: dict, seed: int) -> tuple[DataFrame, list[str]]:
-        spark, me = self.spark, self
-        state = {k: v for k, v in self.__dict__.items() if k not in ("spark", "schema")}
+        spark, g = self.spark, self._bare()
         shape = ", ".join(f"`{c}` {'double' if c in self.marginals else 'string'}" for c in self.columns)
-        kind = type(me)
 
         def rows(first: int, count: int) -> DataFrame:
             parts = max(1, min(200, count // 50_000 + 1))
 
             def make(batches):
-                g = kind.__new__(kind)
-                g.__dict__.update(state)
                 for b in batches:
                     ids = b["id"].to_numpy()
                     if len(ids):
@@ -202,94 +206,73 @@ class GaussianCopula(BaseGenerator):
         raise RuntimeError(f"filters let too few rows pass: {filters}")
 
 
-class EmpiricalCopula(GaussianCopula):
-    """Marginals by 201 quantiles of the data, joined by the Gaussian copula of the fitted marginals.
+MARKS = [k / 200 for k in range(201)]
 
-    Ranks are not used: correlations are those of GaussianCopula, from normal or lognormal marginals.
-    """
+
+class EmpiricalCopula(GaussianCopula):
+    """Marginals by 201 exact quantiles of the data, joined by the Gaussian copula of the ranks that these give."""
 
     def _fit(self, df: DataFrame) -> None:
+        numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+        self.quantiles = quantiles(df, numbers, MARKS)
         super()._fit(df)
-        marks = [k / 200 for k in range(201)]
-        if self.numbers:
-            row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, marks))).alias(c) for c in self.numbers]).first()
-            self.quantiles = {c: list(row[c]) if row[c] else None for c in self.numbers}
-        else:
-            self.quantiles = {}
+
+    def _ranks(self, column: str, x: pd.Series) -> np.ndarray:
+        return _place(x, self.quantiles[column])
 
     def _values(self, u: np.ndarray) -> dict[str, object]:
         out = super()._values(u)
-        marks = np.linspace(0, 1, 201)
         for k, c in enumerate(self.columns):
             if self.quantiles.get(c):
-                out[c] = np.interp(u[:, k], marks, self.quantiles[c])
+                out[c] = np.interp(u[:, k], MARKS, self.quantiles[c])
         return out
 
 
-def tail_dependence(family: str, theta: float, df: float | None = None) -> tuple[float, float]:
-    """Lower and upper tail dependence of a pair copula."""
-    if family == "clayton":
-        return (2 ** (-1 / theta) if theta > 0 else 0.0, 0.0)
-    if family in ("gumbel", "joe"):
-        return (0.0, 2 - 2 ** (1 / theta))
-    if family == "student":
-        x = 2 * t_cdf(-math.sqrt((df + 1) * (1 - theta) / (1 + theta)), df + 1)
-        return (x, x)
-    if family in ("gaussian", "frank", "indep"):
-        return (0.0, 0.0)
-    raise ValueError(f"unknown family {family!r}")
-
+def _place(x: pd.Series, quantiles_: list[float] | None) -> np.ndarray:
+    """Shares of the rows below each value, the middle of the range for tied quantiles; 0.5 for unknown ones."""
+    if not quantiles_:
+        return np.full(len(x), 0.5)
+    q, known = np.array(quantiles_), x.notna().to_numpy()
+    x = x.fillna(q[0]).to_numpy(dtype=float)
+    low, high = np.searchsorted(q, x, side="left") / (len(q) - 1), (np.searchsorted(q, x, side="right") - 1) / (len(q) - 1)
+    _, first = np.unique(q, return_index=True)
+    inside = np.interp(x, q[first], np.array(MARKS)[first])
+    return np.where(known, np.where(high > low, (low + high) / 2, inside), 0.5)
 
-#: Families that VineCopula fits; tail_dependence() knows more.
-FITTED = ("gaussian", "clayton")
-FAMILIES = {"gaussian": ("gaussian",), "archimedean": ("clayton",), "all": FITTED}
 
+class VineCopula(EmpiricalCopula):
+    """A C-vine over the numbers: each pair's family is the likeliest of the family set, its parameter by Kendall's tau.
 
-class VineCopula(GaussianCopula):
-    """A first-tree C-vine on the column of strongest correlation of normal scores.
-
-    Pairs are Gaussian, or Clayton if the family set has no 'gaussian' and tau is over 0.01 (else Gaussian all the same).
-    Families are not chosen by likelihood or tail weight, gumbel, joe, frank and student are not fitted (a ValueError if
-    named), and tau is derived from the Gaussian correlation, not counted.  Numbers only; categories are drawn
-    independently by their shares.
+    Taus and likelihoods come from counts of ranks on a grid, over all rows.  family_set is 'all', 'archimedean' or one
+    family; trees limits the number of trees (all by default).  Categories are drawn independently by their shares.
     """
 
-    def __init__(self, family_set: str = "all", **kw):
+    def __init__(self, family_set: str = "all", trees: int | None = None, **kw):
         super().__init__(**kw)
-        self.families = FAMILIES.get(family_set, (family_set,))
-        if not set(self.families) <= set(FITTED):
-            raise ValueError(f"family set {family_set!r} is not fitted; use one of {sorted({*FAMILIES, *FITTED})}")
+        self.families, self.trees = vine.FAMILIES.get(family_set, (family_set,)), trees
+        if not set(self.families) <= set(vine.FAMILIES["all"]):
+            raise ValueError(f"family set {family_set!r} is not fitted; use one of {sorted({*vine.FAMILIES, *vine.FAMILIES['all']})}")
 
     def _fit(self, df: DataFrame) -> None:
         super()._fit(df)
-        k = len(self.numbers)
-        r = np.abs(self.correlation[:k, :k])
-        self.root = int(r.sum(0).argmax()) if k else 0
-        self.pairs = {}
-        for j in range(k):
-            if j != self.root:
-                rho = float(np.clip(self.correlation[self.root, j], -0.999, 0.999))
-                tau = 2 / math.pi * math.asin(rho)
-                family = "clayton" if "clayton" in self.families and "gaussian" not in self.families and tau > 0.01 else "gaussian"
-                theta = 2 * tau / (1 - tau) if family == "clayton" else rho
-                self.pairs[j] = (family, theta, tau)
+        held, numbers = self.quantiles, self.numbers
+
+        def ranks(batches):
+            for b in batches:
+                yield pd.DataFrame({c: _place(b[c], held[c]) for c in numbers})
+
+        u = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in numbers])
+        self.vine = vine.CVine(u.mapInPandas(ranks, ", ".join(f"`{c}` double" for c in numbers)), numbers, self.families, self.trees) if numbers else None
 
     def _draw(self, rng, n: int) -> np.ndarray:
         u = rng.uniform(1e-9, 1 - 1e-9, size=(n, len(self.columns)))
-        for j, (family, theta, _) in self.pairs.items():
-            a, w = u[:, self.root], u[:, j].copy()
-            if family == "clayton":
-                u[:, j] = ((w ** (-theta / (1 + theta)) - 1) * a ** (-theta) + 1) ** (-1 / theta)
-            else:
-                u[:, j] = normal_cdf(theta * normal_ppf(a) + math.sqrt(1 - theta * theta) * normal_ppf(w))
+        if self.vine:
+            u[:, : len(self.numbers)] = self.vine.draw(rng, n)
         return u
 
     def tail_dependence_report(self) -> list[dict]:
-        out = []
-        for j, (family, theta, tau) in self.pairs.items():
-            low, high = tail_dependence(family, theta)
-            out.append({"pair": f"{self.numbers[self.root]} x {self.numbers[j]}", "family": family, "tau": tau, "lower": low, "upper": high})
-        return out
+        """Family, tau, lower and upper tail dependence of every pair of the vine."""
+        return self.vine.report() if self.vine else []
 
 
 class NeuralGenerator(BaseGenerator):

@@ -6,9 +6,12 @@ import math
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .experiments import chance
 from .frames import sample, split_rows
 from .statistics import auc
 
@@ -56,13 +59,27 @@ def squared_distance(a: Column, b: Column, dims: int) -> Column:
 def nearest(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFrame:
     """(qid, d): distances of each query (qid, x) to its k nearest base vectors, ascending, as an array.
 
-    The queries are a sample of bounded size; they are broadcast to the base rows, and only k distances for each query
-    and partition are kept.
+    The queries are a sample of bounded size; they are broadcast, the base rows stream past them, and each partition
+    hands on only the k least distances of every query.
     """
-    pairs = base.select(F.col("x").alias("y")).crossJoin(F.broadcast(queries)).select("qid", F.sqrt(squared_distance(F.col("x"), F.col("y"), dims)).alias("d"), F.spark_partition_id().alias("p_"))
-    w = Window.partitionBy("qid", "p_").orderBy("d")
-    few = pairs.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= k)
-    return few.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k).alias("d"))
+    rows = queries.select("qid", "x").collect()
+    held = base.sparkSession.sparkContext.broadcast((pa.array([str(r[0]) for r in rows], pa.string()), np.array([r[1] for r in rows], dtype=float).reshape(-1, dims)))
+
+    def least(batches):
+        qid, x = held.value
+        best = np.empty((len(x), 0))
+        for b in batches:
+            y = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            for a in range(0, len(y), 2048):
+                square = sum((x[:, i, None] - y[None, a : a + 2048, i]) ** 2 for i in range(dims))
+                best = np.concatenate([best, square], axis=1)
+                if best.shape[1] > k:
+                    best = np.partition(best, k - 1, axis=1)[:, :k]
+        if len(qid):
+            yield pa.RecordBatch.from_pydict({"qid": qid, "d": pa.array(np.sqrt(best).tolist(), pa.list_(pa.float64()))})
+
+    found = base.select(F.col("x").cast("array<double>").alias("x")).mapInArrow(least, "qid string, d array<double>")
+    return found.groupBy("qid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
 
 
 def membership_distances(members: DataFrame, others: DataFrame, synthetic: DataFrame, columns: list[str], key: str, n: int = 300, seed: int = 43) -> DataFrame:
@@ -75,8 +92,8 @@ def membership_distances(members: DataFrame, others: DataFrame, synthetic: DataF
 
 
 def membership_inference(members: DataFrame, others: DataFrame, synthetic: DataFrame, columns: list[str], key: str, n: int = 300, seed: int = 43) -> DataFrame:
-    """(auc, advantage, risk): how well closeness to synthetic rows tells training rows from held-out ones."""
-    d = membership_distances(members, others, synthetic, columns, key, n, seed).withColumn("s_", -F.col("d"))
+    """(auc, advantage, risk): how well closeness to synthetic rows tells training rows from held-out ones; distances equal to nine places tie."""
+    d = membership_distances(members, others, synthetic, columns, key, n, seed).withColumn("s_", -F.round("d", 9))
     a = auc(d, "s_", "member").select(F.round("auc", 4).alias("auc"))
     return a.select("auc", F.round(F.greatest(F.lit(0.0), 2 * (F.col("auc") - 0.5)), 4).alias("advantage"), risk(F.col("auc"), AUC_LIMITS).alias("risk"))
 
@@ -135,6 +152,13 @@ def privacy_audit(real: DataFrame, synthetic: DataFrame, key: str, numeric: list
     return out | {"overall_risk": worst, "recommendation": {"very_low": "safe to share", "low": "safe to share with care", "moderate": "review before sharing", "high": "do not share without mitigation", "very_high": "do not share"}[worst]}
 
 
+def format_audit(found: dict, width: int = 60) -> str:
+    """privacy_audit() as text: a line for each test with its risk and figures, then the verdict."""
+    figures = lambda v: ", ".join(f"{k} {x:g}" if isinstance(x, int | float) else f"{k}: {x}" for k, x in v.items() if k != "risk")
+    tests = [f"{name.replace('_', ' '):<24}{v['risk']:<11}{figures(v)}" for name, v in found.items() if isinstance(v, dict)]
+    return "\n".join(["Privacy audit".center(width, "="), *tests, "-" * width, f"{'overall':<24}{found['overall_risk']:<11}{found['recommendation']}"])
+
+
 def _needs(ok: bool, what: str) -> None:
     if not ok:
         raise ValueError(f"needs {what}")
@@ -158,21 +182,31 @@ class PrivacyBudget:
         return max(0.0, self.epsilon - self.spent)
 
 
-def laplace(value: Column, sensitivity: float, epsilon: float, seed: int = 42) -> Column:
+def _uniform(seed: int, key: Column | None, label: str) -> Column:
+    """A number between 0 and 1, open at both ends: random, or decided by a key and the (secret) seed."""
+    if key is None:
+        return F.greatest(F.rand(seed + len(label)), F.lit(1e-12))
+    return chance(key, seed, label) + F.lit(0.5 / 4294967296.0)
+
+
+def laplace(value: Column, sensitivity: float, epsilon: float, seed: int = 42, key: Column | None = None) -> Column:
+    """value with Laplace noise of scale sensitivity / epsilon; with a key, a row's noise is the same in every run."""
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
-    u = F.rand(seed) - 0.5
+    u = _uniform(seed, key, "l") - 0.5
     return value - F.lit(sensitivity / epsilon) * F.signum(u) * F.ln(F.greatest(1 - 2 * F.abs(u), F.lit(1e-300)))
 
 
-def gaussian(value: Column, sensitivity: float, epsilon: float, delta: float, seed: int = 42) -> Column:
+def gaussian(value: Column, sensitivity: float, epsilon: float, delta: float, seed: int = 42, key: Column | None = None) -> Column:
+    """value with normal noise for (epsilon, delta); with a key, from two uniform numbers by Box and Muller's formula."""
     if epsilon <= 0 or not 0 < delta < 1:
         raise ValueError("epsilon must be positive and delta between 0 and 1")
-    return value + F.randn(seed) * F.lit(sensitivity * math.sqrt(2 * math.log(1.25 / delta)) / epsilon)
+    noise = F.randn(seed) if key is None else F.sqrt(-2 * F.ln(_uniform(seed, key, "g"))) * F.cos(2 * math.pi * _uniform(seed, key, "h"))
+    return value + noise * F.lit(sensitivity * math.sqrt(2 * math.log(1.25 / delta)) / epsilon)
 
 
 def private_histogram(df: DataFrame, column: str, epsilon: float, seed: int = 42) -> DataFrame:
-    """(value, p): noisy shares of the categories, not below 0, that add up to 1 (or are all 0)."""
+    """(value, p): noisy shares of the categories, not below 0, that add up to 1 (or are all 0); the seed decides the noise."""
     n = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy("value").coalesce(1)
-    n = n.select("value", F.greatest(F.lit(0.0), laplace(F.col("n").cast("double"), 1.0, epsilon, seed)).alias("x"))
+    n = n.select("value", F.greatest(F.lit(0.0), laplace(F.col("n").cast("double"), 1.0, epsilon, seed, F.col("value"))).alias("x"))
     return n.select("value", F.coalesce(F.col("x") / F.nullif(F.sum("x").over(Window.partitionBy(F.lit(0))), F.lit(0.0)), F.lit(0.0)).alias("p"))

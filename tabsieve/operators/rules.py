@@ -68,6 +68,11 @@ def check_rules(synthetic: DataFrame, rules: list) -> DataFrame:
     return synthetic.withColumn("broken_", violated(rules))
 
 
+def rule_mask(synthetic: DataFrame, real: DataFrame, columns: list[str], **options) -> DataFrame:
+    """synthetic with violates_: does the row break a rule that is mined from the real table with these options?"""
+    return synthetic.withColumn("violates_", F.size(violated(mine_rules(real, columns, **options).collect())) > 0)  # max_rules at most
+
+
 def violation_summary(synthetic: DataFrame, rules: list) -> DataFrame:
     n = F.size("broken_")
     return check_rules(synthetic, rules).agg(F.round(F.coalesce(F.avg((n > 0).cast("double")), F.lit(0.0)), 4).alias("rule_violation_rate"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("total_rule_hits"), F.lit(len(rules)).cast("long").alias("num_rules_mined"), F.count_if(n > 0).alias("num_rows_with_violations"), F.count("*").alias("rows_evaluated"))

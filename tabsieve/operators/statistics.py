@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import long_form, running
+from .frames import long_form, quantile_rows, running
 
 MIN_ROWS = 10
 MOMENT_WEIGHTS = (0.40, 0.35, 0.15, 0.10)
@@ -124,7 +124,8 @@ def correlation_distance(stacked: DataFrame, numeric: list[str], categorical: li
 
 def tails(stacked: DataFrame, columns: list[str]) -> DataFrame:
     """(col, score): how alike the tails are, by (p99 - median) over the interquartile range."""
-    q = long_form(stacked, columns).groupBy("col", "src").agg(F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.99)))).alias("q"))
+    n = long_form(stacked, columns).groupBy("col", "src", "v").agg(F.count("*").alias("k"))
+    q = quantile_rows(n, ["col", "src"], "v", "k", [0.25, 0.5, 0.75, 0.99])
     q = q.withColumn("t", (F.col("q")[3] - F.col("q")[1]) / F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-9)))
     w = q.groupBy("col").agg(_side(F.col("t"), "r").alias("r"), _side(F.col("t"), "s").alias("s"))
     return w.select("col", F.greatest(F.lit(0.0), 100 - F.abs(F.col("r") - F.col("s")) / F.greatest(F.abs("r"), F.lit(1e-9)) * 100).alias("score"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import audit
 from ..operators.binning import apply_bins, bin_edges
 from ..operators.experiments import unfinished
-from ..operators.frames import folds, split_rows
+from ..operators.frames import folds, quantile, split_rows
 from ..operators.generate import make_generator
 from .report import fidelity_report
 
@@ -56,14 +56,14 @@ def leakage_arms(real: DataFrame, synthetic: DataFrame, target: str, **options)
 def label_noise(real: DataFrame, target: str, trees: int = 20, percentile: float = 5.0, seed: int = 42) -> DataFrame:
     """real with p_, the cross-fitted probability of its own label, and noisy_, whether that is under its percentile."""
     others = [c for c in real.columns if c != target]
-    row = real.withColumn("row_", F.xxhash64(*real.columns, F.monotonically_increasing_id())).where(F.col(target).isNotNull())
+    row = real.withColumn("row_", F.xxhash64(*real.columns)).where(F.col(target).isNotNull())
     text = apply_bins(row.select("*", *[F.col(c).alias(f"own_{c}") for c in others]), others, bin_edges(real, others)).fillna("nan", others).withColumn("label_", F.col(target).cast("string"))
     dealt = folds(text, "row_", "label_", 2, seed).cache()
     index = StringIndexer(inputCol="label_", outputCol="y_", handleInvalid="keep", stringOrderType="alphabetAsc")
     pipe = Pipeline(stages=[*audit._encoding(others, "s"), index, RandomForestClassifier(labelCol="y_", featuresCol="sx", numTrees=trees, maxDepth=8, minInstancesPerNode=5, seed=seed)])
     parts = [audit.Auditor._observed(pipe.fit(dealt.where(F.col("fold_") != f)), dealt.where(F.col("fold_") == f), "label_") for f in range(2)]
     both = parts[0].unionByName(parts[1])
-    floor = both.agg(F.percentile("p_", percentile / 100)).first()[0] or 0.0
+    floor = quantile(both, "p_", percentile / 100) or 0.0
     return both.select(*[F.col(f"own_{c}").alias(c) if c in others else F.col(c) for c in real.columns], "p_", (F.col("p_") < F.lit(floor)).alias("noisy_"))
 
 

@@ -3,11 +3,14 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabsieve.operators import binning, coverage, experiments, frames, generate, privacy, rules, statistics, validate
+from tabsieve.functions import distributions
+from tabsieve.operators import binning, coverage, downstream, experiments, frames, generate, privacy, rules, statistics, validate, vine
 from tabsieve.operators.audit import AuditConfig, Auditor, combine, fuse, integrity_score, sentinel_penalty
+from tabsieve.sources import datasets
 
 
 def one(df):
@@ -236,11 +239,87 @@ def test_generators(spark):
 
 
 def test_vine_families():
-    for family in ("gumbel", "joe", "frank", "student", "odd"):
-        with pytest.raises(ValueError):
-            generate.make_generator("vine", family_set=family)
-    for family in ("all", "archimedean", "gaussian", "clayton"):
-        generate.make_generator("vine", family_set=family)
+    with pytest.raises(ValueError):
+        generate.make_generator("vine", family_set="odd")
+    v = np.random.default_rng(0).uniform(0.01, 0.99, 200)
+    for family in vine.FAMILIES["all"]:
+        theta = vine.theta_of(family, 0.4)
+        assert vine.tau_of(family, theta) == pytest.approx(0.4, abs=1e-3)
+        edges = np.stack([vine.conditional(family, theta, np.full(200, u), v, 4) for u in np.linspace(0.01, 0.99, 25)])
+        assert (np.diff(edges, axis=0) > -1e-6).all() and edges.min() >= -1e-9 and edges.max() <= 1 + 1e-9
+        # the mean over v is the distribution of u
+        mean = vine.conditional(family, theta, np.full(4000, 0.3), (np.arange(4000) + 0.5) / 4000, 4).mean()
+        assert mean == pytest.approx(0.3, abs=0.01)
+
+
+def test_vine_finds_families_and_tails(spark):
+    rng = np.random.default_rng(2)
+    n = 6000
+    a, w, z = rng.uniform(size=n), rng.uniform(size=n), rng.uniform(size=n)
+    clayton = ((w ** (-3 / 4) - 1) * a**-3.0 + 1) ** (-1 / 3)  # theta 3
+    frank = np.clip(-np.log1p(z * np.expm1(-8) / (z + (1 - z) * np.exp(-8 * a))) / 8, 0, 1)
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": clayton, "c": 1 - frank, "d": rng.normal(size=n)}))
+    g = generate.make_generator("vine").fit(df)
+    found = {r["pair"]: r for r in g.tail_dependence_report() if r["tree"] == 1}
+    assert found["a x b"]["family"] == "clayton" and found["a x b"]["theta"] == pytest.approx(3, rel=0.15) and found["a x b"]["lower"] > 0.7
+    assert found["a x c"]["family"] == "frank" and found["a x c"]["tau"] < -0.5 and found["a x c"]["lower"] == 0
+    assert abs(found["a x d"]["tau"]) < 0.05
+    got = g.generate(8000).toPandas()
+    rank = got[["a", "b", "c", "d"]].rank() / len(got)
+    assert ((rank.a < 0.05) & (rank.b < 0.05)).mean() / 0.05 > 0.6 and ((rank.a > 0.95) & (rank.b > 0.95)).mean() / 0.05 < 0.45
+    assert rank.a.corr(rank.c) < -0.6 and abs(rank.a.corr(rank.d)) < 0.06
+    assert rank.b.corr(rank.c) == pytest.approx(pd.DataFrame({"b": clayton, "c": 1 - frank}).rank().corr().iloc[0, 1], abs=0.07)
+
+
+def test_quantiles_of_any_size(spark, monkeypatch):
+    rows = [(float((i * 7919) % 501), "ab"[i % 2]) for i in range(3000)] + [(None, "a"), (float("nan"), "b")]
+    df = spark.createDataFrame(rows, "v double, g string")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    want = np.quantile([r[0] for r in rows[:3000]], shares)
+    assert frames.quantiles(df, ["v"], shares)["v"] == pytest.approx(want)
+    monkeypatch.setattr(frames, "BUFFERED", 10)
+    assert frames.quantiles(df, ["v"], shares)["v"] == pytest.approx(want)
+    assert frames.quantiles(df.limit(0), ["v"], shares) == {"v": None} and frames.quantiles(df, [], shares) == {}
+
+
+def test_forward_fill_over_many_ranges(spark, monkeypatch):
+    rows = [(i, float(i) if i % 9 == 4 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    last, want = 4.0, {}
+    for i, v in rows:
+        last = last if v is None else v
+        want[i] = last
+    got = frames._forward(df, "v", "k", size=50)
+    assert {r[0]: r[1] for r in got.select("k", "v").collect()} == want
+
+
+def test_renderers_and_columns(spark):
+    df = spark.createDataFrame([(i, float(i % 17), float(i % 5), "ab"[i % 2], "xyz"[i % 3]) for i in range(120)], "k long, n double, m double, c string, d string")
+    text = privacy.format_audit(privacy.privacy_audit(df, df, "k", ["n", "m"], ["c", "d"], n=20))
+    assert "exact copies" in text and "very_high" in text and text.count("\n") == 6
+    got = spark.createDataFrame([(0.5, 1.0), (0.975, -1.0)], "p double, x double").select(distributions.lognormal_ppf_col(F.col("p"), 1.0, 2.0), distributions.lognormal_cdf_col(F.col("x"))).collect()
+    assert got[0][0] == pytest.approx(math.e) and got[1][0] == pytest.approx(math.exp(1 + 2 * 1.959964)) and [r[1] for r in got] == pytest.approx([0.5, 0.0])
+    steps = []
+    Auditor(AuditConfig(mode="rules_only")).fit(df.select("c", "d"), progress=lambda *a: steps.append(a))
+    assert [s[0] for s in steps] == [1, 2, 3]
+
+
+def test_supermarket(spark):
+    raw = spark.createDataFrame([("7", 1.5, "x", "4.5", "d"), ("8", 2.5, "y", "?", "d")], "`Invoice ID` string, `Unit price` double, `Product line` string, Rating string, Date string")
+    assert [tuple(r) for r in datasets.clean_supermarket(raw).collect()] == [(1.5, "x", 4.5), (2.5, "y", None)]
+    census = spark.createDataFrame([tuple(str(k + 1) for k in range(13)) + ("9", "NY")], ", ".join(f"{c} string" for c in datasets.DATASETS["census_acs"]["rename"]) + ", `public use microdata area` string, state string")
+    row = datasets.clean_census(census).first()
+    assert row["household_income"] == 1.0 and row["poverty_status"] == pytest.approx(4 / 5) and row["employment_status"] == pytest.approx(1 - 6 / 7) and row["puma"] == "9"
+
+
+def test_utility_variant(spark):
+    rows = [(i, float(i % 10), "xyz"[i % 3], "xyz"[i % 3] if i % 10 else "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, n double, c string, t string")
+    got = downstream.utility(df, df, "t", "k", trees=10).first()
+    assert got["f1"] > 0.9 and got["accuracy"] > 0.9 and got["trr"] > 0.9
+    assert downstream.utility(df, df, "n", "k", trees=5).first()["f1"] >= 0
+    assert [(c, v) for c, v, _ in downstream.aligned_dummies(df, ["c", "t"], most=3)] == [(c, v) for c in "ct" for v in "xyz"]
+    assert downstream.aligned_dummies(df, ["c"], most=2) == []
 
 
 def test_experiments(spark):
