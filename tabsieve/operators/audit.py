@@ -12,7 +12,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .binning import apply_bins, bin_edges, canonical_codes
@@ -118,19 +118,24 @@ class Auditor:
         return self
 
     def hub_scores(self, binned: DataFrame) -> list[tuple[str, float]]:
-        """Columns by how well the others foretell them: accuracy of the majority class among rows that share the
-        value of the best other column; columns of 1 class or very many are left out.  All pairs are counted in one pass."""
+        """Columns by how well the others foretell them, (column, held-out accuracy): in cv_splits folds, the class that
+        is most frequent in the other folds among rows that share the value of another column (ties: the greatest),
+        for the best other column.  Columns of one class or very many are left out.  All pairs are counted in one pass.
+        """
+        k = self.config.cv_splits
         usable = [x for x in self.columns if x not in self.config.hub_exclude and self.distinct[x] > 1 and not (self.distinct[x] > self.config.high_cardinality and self.distinct[x] > 0.15 * self.rows)]
-        pairs = [(a, b) for k, b in enumerate(self.columns) for a in self.columns[:k]]
+        pairs = [(x, y) for y in usable for x in self.columns if x != y]
         best = dict.fromkeys(usable, 0.0)
         if pairs:
-            each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("e")
-            n = binned.select(each).groupBy("e.a", "e.b", "e.u", "e.v").agg(F.count("*").alias("n"))
-            sides = n.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("u").alias("value"), "n").unionByName(n.select(F.col("b").alias("x"), F.col("a").alias("y"), F.col("v").alias("value"), "n"))
-            right = sides.groupBy("x", "y", "value").agg(F.max("n").alias("n")).groupBy("x", "y").agg(F.sum("n").alias("n"))
-            for r in right.groupBy("y").agg(F.max("n").alias("n")).collect():  # a row a column
-                if r["y"] in best:
-                    best[r["y"]] = r["n"] / self.rows
+            row = F.md5(F.concat_ws("~", *self.columns))  # equal rows are dealt to folds in turn
+            turn = F.row_number().over(Window.partitionBy(F.substring(row, 1, 2)).orderBy(row))
+            dealt = binned.select(*self.columns, F.pmod(turn - 1, F.lit(k)).alias("fold_"))
+            each = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs])).alias("e")
+            n = dealt.select("fold_", each).groupBy("e.x", "e.y", "e.u", "e.v").agg(F.count("*").alias("n"), *[F.count_if(F.col("fold_") == f).alias(f"n{f}") for f in range(k)])
+            folds_ = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.struct((F.col("n") - F.col(f"n{f}")).alias("rest"), F.col("v"), F.col(f"n{f}").alias("right")).alias("c")) for f in range(k)])).alias("s")
+            choice = n.select("x", "y", "u", folds_).where("s.c.rest > 0").groupBy("x", "y", "u", "s.f").agg(F.max("s.c").alias("c"))
+            for r in choice.groupBy("x", "y").agg(F.sum("c.right").alias("right")).groupBy("y").agg(F.max("right").alias("right")).collect():  # a row a column
+                best[r["y"]] = r["right"] / self.rows
         return sorted(best.items(), key=lambda t: (-t[1], self.columns.index(t[0])))
 
     def _fit_sentinels(self, binned: DataFrame, pool: ThreadPoolExecutor) -> None:

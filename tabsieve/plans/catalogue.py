@@ -379,10 +379,13 @@ def h01(spark, sf):
     return audit.Auditor().fit(real.select(*cols), cols).score(syn)
 
 
-_HUB_PAIRS = " UNION ALL ".join(f"SELECT '{y}' AS hub, sum(m) / (SELECT count(*) FROM r) AS a FROM (SELECT max(n) AS m FROM (SELECT {x} AS x, count(*) AS n FROM r GROUP BY {x}, {y}) GROUP BY x)" for y in P.CU_CAT for x in P.CU_CAT if x != y)
+_HUB_PAIRS = " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, {x} AS u, {y} AS v, f FROM d" for y in P.CU_CAT for x in P.CU_CAT if x != y)
 
 
-@query("h07_hub_scores", f"WITH {P.CU_SQL}, g AS ({_HUB_PAIRS}) SELECT hub, round(max(a), 6) AS score FROM g GROUP BY hub")
+@query("h07_hub_scores", f"""WITH {P.CU_SQL}, k AS (SELECT *, md5(concat_ws('~', n_name, r_name, c_mktsegment)) AS k FROM r), d AS (SELECT *, (row_number() OVER (PARTITION BY substr(k, 1, 2) ORDER BY k) - 1) % 5 AS f FROM k),
+e AS ({_HUB_PAIRS}), c AS (SELECT x, y, u, v, i AS f, count(*) FILTER (e.f <> i) AS rest, count(*) FILTER (e.f = i) AS hit FROM e, range(5) t(i) GROUP BY ALL HAVING count(*) FILTER (e.f <> i) > 0),
+m AS (SELECT x, y, hit FROM c QUALIFY row_number() OVER (PARTITION BY x, y, u, f ORDER BY rest DESC, v DESC) = 1), a AS (SELECT x, y, sum(hit) / (SELECT count(*) FROM r) AS a FROM m GROUP BY 1, 2)
+SELECT y AS hub, round(max(a), 6) AS score FROM a GROUP BY 1""")
 def h07(spark, sf):
     real, _ = P.customers(spark, sf)
     a = audit.Auditor(audit.AuditConfig(mode="rules_only")).fit(real, P.CU_CAT)
