@@ -200,6 +200,49 @@ def d13(spark, sf):
     return rounded(frames.quantile_rows(count(away, "away"), ["event_type"], "away", "k", [0.5]).select("event_type", F.col("q")[0].alias("mad")), "mad")
 
 
+@query("a16_metrics", values([(m,) for m in ("alpha_beta", "correlation", "downstream", "hif", "ks_test", "moment_matching", "stylized_facts", "tvd")], "metric"))
+def a16(spark, sf):
+    from .report import list_metrics
+
+    return spark.createDataFrame([(m,) for m in list_metrics()], "metric string")
+
+
+_TAILS = [("clayton", 2.0), ("clayton", 0.5), ("gumbel", 2.0), ("joe", 3.0), ("frank", 5.0), ("gaussian", 0.7)]
+
+
+@query("g10_tail_dependence", f"SELECT family, theta, round(CASE WHEN family = 'clayton' THEN pow(2, -1 / theta) ELSE 0 END, 6) AS lower, round(CASE WHEN family IN ('gumbel', 'joe') THEN 2 - pow(2, 1 / theta) ELSE 0 END, 6) AS upper FROM ({values(_TAILS, 'family, theta')})")
+def g10(spark, sf):
+    rows = [(f, t, *map(float, generate.tail_dependence(f, t))) for f, t in _TAILS]
+    return rounded(spark.createDataFrame(rows, "family string, theta double, lower double, upper double"), "lower", "upper")
+
+
+@query("g07_prior_marginals", "WITH x AS (SELECT avg(p_size) AS m, var_pop(p_size) AS v, 100.0::DOUBLE / (100 + count(*)) AS w FROM part) SELECT round((1 - w) * m + w * 10, 6) AS loc, round(sqrt((1 - w) * v + w * 4), 6) AS scale FROM x")
+def g07(spark, sf):
+    g = generate.GaussianCopula(prior={"p_size": (10.0, 2.0)}, prior_weight=100.0).fit(P.table(spark, sf, "part").select("p_retailprice", "p_size"))
+    m = g.marginals["p_size"]
+    return rounded(spark.createDataFrame([(float(m["loc"]), float(m["scale"]))], "loc double, scale double"), "loc", "scale")
+
+
+_SWEPT = " UNION ALL ".join(f"SELECT {c}::DOUBLE AS min_confidence, * FROM (WITH {P.CU_SQL}, {RULES_SQL.replace('conf >= 0.95', f'conf >= {c}')}, {_BREAK} SELECT (SELECT count(*) FROM rules) AS num_rules, round(1 - 0.9999 * (SELECT count(DISTINCT c_custkey) FROM b) / (SELECT count(*) FROM s), 4) AS score, round((SELECT count(DISTINCT c_custkey) FROM b) / (SELECT count(*) FROM s), 4) AS violation_rate)" for c in (0.95, 0.99, 1.0))
+
+
+@query("x22_sweep", _SWEPT)
+def x22(spark, sf):
+    real, syn = P.customers(spark, sf)
+    got = benchmark.sweep(real.select(*_NAMES), syn.select(*_NAMES), {"mode": ["rules_only"], "min_confidence": [0.95, 0.99, 1.0]})
+    return spark.createDataFrame([(g["min_confidence"], g["num_rules"], float(g["score"]), float(g["violation_rate"])) for g in got], "min_confidence double, num_rules long, score double, violation_rate double")
+
+
+_ARMS = ", ".join(f"('{a}')" for a in ("all", "not_a_hub"))
+
+
+@query("x16_leakage_arms", f"WITH {P.CU_SQL}, {RULES_SQL}, {_BREAK} SELECT arm, (SELECT count(*) FROM rules) AS num_rules, round((SELECT count(DISTINCT c_custkey) FROM b) / (SELECT count(*) FROM s), 4) AS violation_rate FROM (VALUES {_ARMS}) t(arm)")
+def x16(spark, sf):
+    real, syn = P.customers(spark, sf)
+    got = benchmark.leakage_arms(real.select(*_NAMES), syn.select(*_NAMES), "c_mktsegment", mode="rules_only")
+    return spark.createDataFrame([(k, v["num_rules"], float(v["violation_rate"])) for k, v in got.items() if k != "without"], "arm string, num_rules long, violation_rate double")
+
+
 # --- coverage, outliers, corruptions, floors ------------------------------------------------------------------------
 
 _KNOWN = " ".join(f"LEFT JOIN p{k} ON p{k}.v = t.{c}" for k, c in enumerate(P.CU_CAT))
