@@ -108,8 +108,8 @@ def encode_texts(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.nd
     start, end, doc = words_of(data, offsets, NOT_SPACE)
     raw, hashed = data.tobytes(), Rolling(byte_values(data)).spans(start, end)
     known: dict[bytes, int] = {}
-    for k in np.flatnonzero(end - start > LONG).tolist():  # long words could be built to collide: by their bytes
-        hashed[k] = mix(known.setdefault(raw[start[k] : end[k]], len(known)))
+    long = np.flatnonzero(end - start > LONG)  # long words could be built to collide: by their bytes
+    hashed[long] = mix(np.array([known.setdefault(raw[start[k] : end[k]], len(known)) for k in long.tolist()], dtype=np.uint64))
     _, first, place = np.unique(hashed, return_index=True, return_inverse=True)
     ids = _ids_of([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], tok)
     size = np.array([len(i) for i in ids], dtype=np.int64) >> 2

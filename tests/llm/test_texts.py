@@ -1,6 +1,7 @@
 """Licenses, quotes, archives, packing, the classifier and the pipeline."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -12,7 +13,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from tabsieve.llm import licenses, packing, quality, quotes, warc
+from tabsieve.llm import components, licenses, packing, quality, quotes, warc
 from tabsieve.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -150,6 +151,7 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r["record_type"], r["refers_to"]) == (("revisit", first[digest]) if again else ("response", None))
         assert r["payload"] == (None if again else body)
     warc.write_archives(pages.limit(0), str(tmp_path / "none"))
+    assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_warc_errors():
@@ -235,6 +237,34 @@ def test_quality_odd_rows(spark):
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_quality_fit_with_clashing_columns_and_ties(spark):
+    rows = [(i, ["plain words of good text", "xx yy zz", "", None][i % 4], 1, 2, "t", 3) for i in range(60)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, o_ int, y_ int, text_ string, e int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 9, 9) for i in range(60)] * 2, "doc_id long, quality int, o_ int, e int")
+    got = {}
+    for r in quality.score(docs, quality.fit(docs, labels)).collect():
+        got.setdefault(r["text"], set()).add(r["score_"])
+    assert all(len(v) == 1 for v in got.values()) and got[""] == got[None]
+    assert min(got["plain words of good text"]) > 0.5 > max(got["xx yy zz"])
+
+
+def test_tables_are_discarded(spark):
+    before = components.written()
+    path = [w for w in (components.saved(spark.range(5)), components.written())[1] if w not in before]
+    assert len(path) == 1 and spark.read.parquet(path[0]).count() == 5
+    components.discard(spark, path)
+    assert components.written() == before and not os.path.exists(path[0])
+
+
+def test_long_words_are_told_apart():
+    a = b"a" * 2048
+    thue = bytes(b"ab"[bin(k).count("1") % 2] for k in range(4096))
+    texts = [thue, thue.translate(bytes.maketrans(b"ab", b"ba")), a, a + b"a"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    for ids, text in zip(packing.encode_texts(data, offsets, packing.default_tokenizer()), texts, strict=True):
+        assert ids.tolist() == packing._tokenizer(packing.default_tokenizer()).encode(text.decode(), add_special_tokens=False).ids
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, text = docs.columns, {r["doc_id"]: r["text"] for r in docs.collect()}
