@@ -115,6 +115,8 @@ class Auditor:
             tell(3, 3, "continuity")
             if c.mode in ("full", "nic_only", "lse_nic"):
                 self._fit_continuity(real.coalesce(1) if self.rows < SMALL else real, pool)
+        if c.mode == "nic_only" and not self.continuity:
+            raise ValueError("no numeric column varies, so continuity has nothing to fit")
         return self
 
     def hub_scores(self, binned: DataFrame) -> list[tuple[str, float]]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit
 from ..operators.binning import apply_bins, bin_edges
-from ..operators.experiments import unfinished
+from ..operators.experiments import group_summary, unfinished
 from ..operators.frames import folds, quantile, split_rows
 from ..operators.generate import make_generator
 from .report import fidelity_report
@@ -31,6 +31,17 @@ def run_matrix(spark, tables: dict[str, DataFrame], generators: Iterable[str], s
     return spark.read.schema(shape).parquet(path)
 
 
+def aggregate(results: DataFrame, keys: tuple[str, ...] = ("dataset", "generator", "measure")) -> DataFrame:
+    """(keys..., n, mean, std, sem) of a results table over its seeds."""
+    return group_summary(results, list(keys), "value")
+
+
+def against(summary: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
+    """summary with baseline, the mean of the same keys in another summary (null where it has none), and gain, the difference."""
+    other = baseline.select(*keys, F.col("mean").alias("baseline"))
+    return summary.join(other, keys, "left").withColumn("gain", F.col("mean") - F.col("baseline"))
+
+
 def fidelity_scores(real: DataFrame, synthetic: DataFrame, metrics: list[str] | None = None) -> dict[str, float]:
     return {k: v for k, v in fidelity_report(real, synthetic, metrics=metrics)["summary"].items() if v is not None}
 

@@ -226,6 +226,25 @@ def g07(spark, sf):
 _SWEPT = " UNION ALL ".join(f"SELECT {c}::DOUBLE AS min_confidence, * FROM (WITH {P.CU_SQL}, {RULES_SQL.replace('conf >= 0.95', f'conf >= {c}')}, {_BREAK} SELECT (SELECT count(*) FROM rules) AS num_rules, round(1 - 0.9999 * (SELECT count(DISTINCT c_custkey) FROM b) / (SELECT count(*) FROM s), 4) AS score, round((SELECT count(DISTINCT c_custkey) FROM b) / (SELECT count(*) FROM s), 4) AS violation_rate)" for c in (0.95, 0.99, 1.0))
 
 
+_RUNS = "SELECT event_type AS dataset, 'g' || (user_id % 3) AS generator, event_id % 5 AS seed, 'value' AS measure, value FROM events"
+
+
+def _runs(spark, sf):
+    return P.table(spark, sf, "events").select(F.col("event_type").alias("dataset"), F.concat(F.lit("g"), F.col("user_id") % 3).alias("generator"), (F.col("event_id") % 5).alias("seed"), F.lit("value").alias("measure"), "value")
+
+
+@query("x21_aggregate", f"SELECT dataset, generator, measure, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(stddev_samp(value) / sqrt(count(*)), 6) AS sem FROM ({_RUNS}) GROUP BY 1, 2, 3")
+def x21a(spark, sf):
+    return rounded(benchmark.aggregate(_runs(spark, sf)), "mean", "std", "sem")
+
+
+@query("j09_summary_baseline", f"WITH x AS ({_RUNS}), s AS (SELECT dataset, avg(value) AS mean FROM x GROUP BY 1), b AS (SELECT dataset, avg(value) AS mean FROM x WHERE generator = 'g0' AND dataset <> 'view' GROUP BY 1) SELECT dataset, round(s.mean, 6) AS mean, round(b.mean, 6) AS baseline, round(s.mean - b.mean, 6) AS gain FROM s LEFT JOIN b USING (dataset)")
+def j09(spark, sf):
+    runs = _runs(spark, sf)
+    summary, base = (benchmark.aggregate(d, ("dataset",)) for d in (runs, runs.where("generator = 'g0' and dataset <> 'view'")))
+    return rounded(benchmark.against(summary, base, ["dataset"]).select("dataset", "mean", "baseline", "gain"), "mean", "baseline", "gain")
+
+
 @query("x22_sweep", _SWEPT)
 def x22(spark, sf):
     real, syn = P.customers(spark, sf)

@@ -302,6 +302,8 @@ def test_renderers_and_columns(spark):
     steps = []
     Auditor(AuditConfig(mode="rules_only")).fit(df.select("c", "d"), progress=lambda *a: steps.append(a))
     assert [s[0] for s in steps] == [1, 2, 3]
+    with pytest.raises(ValueError):
+        Auditor(AuditConfig(mode="nic_only")).fit(df.select("c", F.lit(1.0).alias("one")))
 
 
 def test_supermarket(spark):
