@@ -38,13 +38,25 @@ least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
 
 
 
+def _doubled_sql(most: int) -> str:
+    """h1, h2, h4, ... up to `most`: a hash of as many bytes from each place on, each from two of the level before."""
+    levels, k = ["h1 AS (SELECT doc_id, octet_length(b) AS n, unnest(range(1, octet_length(b) + 1)) AS i, unnest(regexp_extract_all(hex(b), '..')) AS h FROM d)"], 1
+    while 2 * k <= most:
+        levels.append(f"h{2 * k} AS (SELECT doc_id, n, i, hash(h, lead(h, {k}) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h{k})")
+        k *= 2
+    return ", ".join(levels)
+
+
 def _left_sql(name: str, length: int, whole: bool) -> str:
     """What is left of each document's bytes without strings of a length that start twice (with whole, of whole characters)."""
+    k = 1 << (length.bit_length() - 1)
     inside = lambda at: f"(b[{at}:{at}] >= '\\x80'::BLOB AND b[{at}:{at}] < '\\xC0'::BLOB)"
     low = f"CASE WHEN NOT {inside('x')} THEN x WHEN NOT {inside('x - 1')} THEN x - 1 WHEN NOT {inside('x - 2')} THEN x - 2 ELSE x - 3 END" if whole else "x"
     high = f"CASE WHEN NOT {inside('y + 1')} THEN y WHEN NOT {inside('y + 2')} THEN y + 1 WHEN NOT {inside('y + 3')} THEN y + 2 ELSE y + 3 END" if whole else "y"
     return f"""
-{name}_at AS (SELECT doc_id, i, count(*) OVER (PARTITION BY hash(b[i:i + {length - 1}])) AS n FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {length - 2})) AS i FROM d WHERE octet_length(b) >= {length})),
+{name}_key AS (SELECT doc_id, n, i, hash(h, lead(h, {length - k}) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h{k}),
+{name}_two AS (SELECT h FROM {name}_key WHERE i <= n - {length - 1} GROUP BY h HAVING count(*) > 1),
+{name}_at AS (SELECT doc_id, i, 2 AS n FROM {name}_key SEMI JOIN {name}_two USING (h) WHERE i <= n - {length - 1}),
 {name}_new AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length}, true)::INTEGER AS new FROM {name}_at WHERE n > 1),
 {name}_run AS (SELECT doc_id, min(i) AS x, max(i) + {length - 1} AS y FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM {name}_new) GROUP BY doc_id, g),
 {name}_cut AS (SELECT doc_id, y - x + 1 AS n, {low} AS x, {high} AS y FROM {name}_run JOIN d USING (doc_id)),
@@ -72,7 +84,7 @@ def _template_regex(markup: str) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op5_suffix_array_dedup": f"""
-WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), {_left_sql("s", 400, False)}, {_left_sql("p", PASSAGE, True)}
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), {_doubled_sql(400)}, {_left_sql("s", 400, False)}, {_left_sql("p", PASSAGE, True)}
 SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(s.kept, b)) AS kept_sha256, decode(coalesce(p.kept, b)) AS text FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id""",
     "op1_embedding_near_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
