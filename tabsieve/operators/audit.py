@@ -105,7 +105,7 @@ class Auditor:
         if self.rows < SMALL:  # the jobs of a small table run side by side, one task each
             binned = binned.coalesce(1)
         self.rules = mine_rules(binned, self.columns, c.min_confidence, c.min_support, c.max_rules, c.min_lift, c.max_antecedents).collect() if c.mode in ("full", "rules_only") else []
-        self.sentinels: dict[str, tuple[PipelineModel, list[str], float]] = {}
+        self.sentinels: dict[str, tuple[PipelineModel, int, float]] = {}  # by hub: model, known values, floor
         self.continuity: dict[str, tuple] = {}
         self.hubs: list[str] = []
         with ThreadPoolExecutor(JOBS) as pool:
@@ -144,21 +144,26 @@ class Auditor:
         c = self.config
         chosen = [h for h, _ in self.hub_scores(binned)[: c.hubs]]
         self.hubs = [h for h in chosen if len(self.columns) > 1]
+        if not self.hubs:
+            return
+        # Columns are encoded once for all sentinels.
+        self.encoder = Pipeline(stages=_encoding(self.columns, "s")[:-1]).fit(binned)
+        known = dict(zip(self.columns, map(len, self.encoder.stages[0].labelsArray), strict=True))
+        coded = self.encoder.transform(binned).cache()
         fits = {}
         for hub in self.hubs:
             others = [x for x in self.columns if x != hub]
-            forest = RandomForestClassifier(labelCol="y_", featuresCol="sx", numTrees=max(10, c.epochs * c.trees_per_epoch), maxDepth=c.depth, minInstancesPerNode=5, featureSubsetStrategy="log2", seed=c.seed)
-            index = StringIndexer(inputCol=hub, outputCol="y_", handleInvalid="keep", stringOrderType="alphabetAsc")
-            pipe = Pipeline(stages=[*_encoding(others, "s"), index, forest])
-            dealt = folds(binned, "k_", hub, 2, c.seed).cache()
+            forest = RandomForestClassifier(labelCol=f"si_{hub}", featuresCol="sx", numTrees=max(10, c.epochs * c.trees_per_epoch), maxDepth=c.depth, minInstancesPerNode=5, featureSubsetStrategy="log2", seed=c.seed)
+            pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"sv_{x}" for x in others], outputCol="sx"), forest])
+            dealt = folds(coded, "k_", hub, 2, c.seed).cache()
             if self.rows < SMALL:
                 dealt = dealt.coalesce(1)
-            fits[hub] = dealt, others, [pool.submit(pipe.fit, dealt.where(F.col("fold_") != f)) for f in range(2)], pool.submit(pipe.fit, binned)
+            fits[hub] = dealt, known[hub], [pool.submit(pipe.fit, dealt.where(F.col("fold_") != f)) for f in range(2)], pool.submit(pipe.fit, coded)
 
         def floor_of(hub: str) -> float:
-            dealt, _, halves, _ = fits[hub]
+            dealt, n, halves, _ = fits[hub]
             # Probabilities of rows that a forest has not seen stand for out-of-bag ones.
-            found = [self._observed(m.result(), dealt.where(F.col("fold_") == f), hub).select("p_") for f, m in enumerate(halves)]
+            found = [self._own(m.result(), dealt.where(F.col("fold_") == f), hub, n).select("p_") for f, m in enumerate(halves)]
             return max(float(quantile(found[0].unionByName(found[1]), "p_", c.confidence_percentile / 100) or 0.0), c.confidence_floor)
 
         models = {hub: fits[hub][3].result() for hub in self.hubs}
@@ -167,6 +172,12 @@ class Auditor:
         floors = list(pool.map(floor_of, self.hubs))
         self.sentinels = {hub: (models[hub], fits[hub][1], floor) for hub, floor in zip(self.hubs, floors, strict=True)}
 
+    @staticmethod
+    def _own(model: PipelineModel, coded: DataFrame, hub: str, known: int) -> DataFrame:
+        """Encoded rows with p_, the probability of the hub's own value; 0 for values never seen."""
+        own = F.get(vector_to_array("probability"), F.col(f"si_{hub}").cast("int"))
+        return model.transform(coded).select(*coded.columns, F.when(F.col(f"si_{hub}") < known, own).otherwise(0.0).alias("p_"))
+
     @staticmethod
     def _observed(model: PipelineModel, df: DataFrame, hub: str) -> DataFrame:
         """df with p_, the probability of the hub's own value; 0 for values never seen."""
@@ -211,12 +222,14 @@ class Auditor:
         out = df.select("*", *[F.col(x).alias(f"raw_{x}") for x in self.columns])
         out = apply_bins(out, self.columns, self.edges, self.constant).fillna("nan", self.columns)
         penalties = []
-        for k, (hub, (model, _, floor)) in enumerate(self.sentinels.items()):
-            out = self._observed(model, out, hub).withColumn(f"pen_{k}", sentinel_penalty(F.col("p_"), floor)).drop("p_")
+        if self.sentinels:
+            out = self.encoder.transform(out)
+        for k, (hub, (model, known, floor)) in enumerate(self.sentinels.items()):
+            out = self._own(model, out, hub, known).withColumn(f"pen_{k}", sentinel_penalty(F.col("p_"), floor)).drop("p_")
             penalties.append(F.col(f"pen_{k}"))
         out = out.withColumn("lse_", combine(penalties) if penalties else F.lit(0.0))
         out = out.withColumn("rule_", F.when(F.size(violated(self.rules)) > 0, 1.0).otherwise(0.0) if self.rules else F.lit(0.0))
-        out = out.withColumns({x: F.col(f"raw_{x}") for x in self.columns}).drop(*[f"raw_{x}" for x in self.columns])
+        out = out.withColumns({x: F.col(f"raw_{x}") for x in self.columns}).select(*own, "lse_", "rule_")
         nic = []
         for k, (y, (model, context, m, sd, z, gamma, collapsed)) in enumerate(self.continuity.items()):
             if collapsed:
