@@ -29,6 +29,8 @@ _LAST = np.iinfo(np.int64).max
 _SET = np.dtype([("lo", "<u8"), ("hi", "<u8"), ("doc", "<i8")])
 #: Sets that one task joins with one another or with as many others.
 BLOCK = 2048
+#: What a cell costs besides its sets, as a number of sets.
+CELL = 16
 
 
 def _squeeze(raw: bytes) -> bytes:
@@ -143,7 +145,8 @@ def cells(tokens: DataFrame, group: DataFrame) -> DataFrame:
 
     tokens are (id, t), the rare shingles of each set; every pair that can link shares one.  A group of up to BLOCK sets
     is one cell.  For a larger one, the sets shipped are counted both ways: as one cell of b blocks, each set goes to b
-    tasks; with a cell for each distinct list of sets that share a shingle, it goes to as many as it is listed in.
+    tasks; with a cell for each distinct list of sets that share a shingle, it goes to as many as it is listed in, and
+    each list counts as CELL sets more.
     Chains of boilerplate take the second way, whose work grows with the group and not its square.
     """
     sizes = group.groupBy("component").agg(F.count("*").alias("m"))
@@ -155,7 +158,7 @@ def cells(tokens: DataFrame, group: DataFrame) -> DataFrame:
     lists = held.groupBy("component", "m", "t").agg(F.count("*").alias("f"), F.min("id").alias("a"), F.max("id").alias("b"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h")).where("f > 1")
     lists = lists.groupBy("component", "m", "f", "a", "b", "h").agg(F.min("t").alias("t"))  # equal lists once
     blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK))
-    cost = lists.groupBy("component", "m").agg(F.sum(F.col("f") * blocks("f")).alias("apart")).where(F.col("apart") < F.col("m") * blocks("m"))
+    cost = lists.groupBy("component", "m").agg(F.sum(F.col("f") * blocks("f") + CELL).alias("apart")).where(F.col("apart") < F.col("m") * blocks("m"))
     parted = saved(lists.join(cost.select("component"), "component").select("component", "t"))
     own = held.join(parted, ["component", "t"]).select("id", "component", F.col("t").alias("cell"))
     return whole.join(parted.select("component").distinct(), "component", "left_anti").select("id", "component", "cell").unionByName(own)

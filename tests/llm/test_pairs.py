@@ -74,7 +74,7 @@ def test_chains_of_boilerplate_grow_in_proportion(spark, monkeypatch):
     """Documents of a line and the next one: one group, but tasks only for the documents that share a line."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     shipped = []
-    for n in (60, 120):
+    for n in (240, 480):
         lines = [" ".join(f"l{i}w{k}" for k in range(12)) for i in range(n + 1)]
         rows = [(i, f"{lines[i]} {lines[i + 1]}") for i in range(n)] + [(1000, lines[5] + " " + lines[6] + " end")]
         held = []
