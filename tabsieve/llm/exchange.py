@@ -45,7 +45,8 @@ def dealt(df: DataFrame, id_col: str, text_col: str, n: int, carry: list[str] |
 def texts_of(table: pa.Table, column: str = "text_") -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and where each begins (null: empty)."""
     col = table.column(column)
-    arr = pc.fill_null(col, "").combine_chunks() if len(col) else pa.array([], pa.string())
+    col = pc.fill_null(col, "") if len(col) else col
+    arr = (col.chunk(0) if col.num_chunks == 1 else col.combine_chunks()) if len(col) else pa.array([], pa.string())  # one chunk is read where it lies
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.chunk(0) if arr.num_chunks else pa.array([], pa.string())
     kind = np.int64 if pa.types.is_large_string(arr.type) else np.int32

@@ -24,8 +24,10 @@ MAX_LEN = 2048
 END_ID = 1
 #: Words of more bytes are told apart by their bytes.
 LONG = 64
-#: Texts that are encoded together.
-BLOCK_BYTES = 4_000_000
+#: Texts that are encoded together: what a block needs besides is about a hundred times its bytes.
+BLOCK_BYTES = 500_000
+#: Words whose ids a worker keeps between blocks: the first ones, and later ones at a time.
+KEPT_WORDS, LATER_WORDS = 400_000, 100_000
 _CACHE: dict[bytes, bytes] = {}
 _LATER: dict[bytes, bytes] = {}
 _TOKENIZERS: dict[str, object] = {}
@@ -78,7 +80,7 @@ def _encode_fresh(words: list[bytes], tok) -> dict[bytes, bytes]:
 
 
 def _ids_of(words: list[bytes], tok) -> list[bytes]:
-    """Ids of distinct words, kept between calls: the first 400,000 words, and 100,000 of later ones at a time."""
+    """Ids of distinct words, kept between calls: the first KEPT_WORDS, and LATER_WORDS of later ones at a time."""
     get, later = _CACHE.get, _LATER.get
     out = [get(w) for w in words]
     missing = {w for w, i in zip(words, out, strict=True) if i is None}
@@ -91,9 +93,9 @@ def _ids_of(words: list[bytes], tok) -> list[bytes]:
     own = {w: i for w in cores if (i := get(w)) is not None or (i := later(w)) is not None}
     own.update(_encode_fresh([w for w in cores if w not in own] + [b".", b","], tok))
     own.update([(w, own[w[:-1]] + own[w[-1:]]) for w in ends])
-    if len(_LATER) > 100_000:
+    if len(_LATER) > LATER_WORDS:
         _LATER.clear()
-    store = _CACHE if len(_CACHE) < 400_000 else _LATER
+    store = _CACHE if len(_CACHE) < KEPT_WORDS else _LATER
     store.update((w, i) for w, i in own.items() if len(w) <= 64)
     known.update(own)
     return [known[w] if i is None else i for w, i in zip(words, out, strict=True)]
@@ -135,25 +137,24 @@ def pieces(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, id_col: str
 
     def cut(batches):
         for b in batches:
-            cols: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             data, offsets = texts_of(pa.Table.from_batches([b]), "text")
-            ids_of: list[np.ndarray] = []
-            for a, z in blocks(offsets, BLOCK_BYTES):
-                ids_of += encode_texts(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], tokenizer)
+            for a, z in blocks(offsets, BLOCK_BYTES):  # a block's ids go before the next is read
+                cols: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
+                ids_of = encode_texts(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], tokenizer)
+                for doc, own in zip(b.column(0).slice(a, z - a).to_pylist(), ids_of, strict=True):
+                    ids = own.tobytes() + end
+                    n = len(ids) // 4
+                    for s in range(0, n, max_len):
+                        part = ids[4 * s : 4 * (s + max_len)]
+                        for k, v in (("doc_id", doc), ("start", s), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part)), ("doc_tokens", n)):
+                            cols[k].append(v)
+                        if with_ids:
+                            cols["ids"].append(np.frombuffer(part, "<u4"))
+                out = {k: pa.array(cols[k], pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
+                if with_ids:
+                    out["ids"] = pa.array([x.astype(np.int64) for x in cols["ids"]], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict(out)
             tidy()
-            for doc, own in zip(b.column(0).to_pylist(), ids_of, strict=True):
-                ids = own.tobytes() + end
-                n = len(ids) // 4
-                for s in range(0, n, max_len):
-                    part = ids[4 * s : 4 * (s + max_len)]
-                    for k, v in (("doc_id", doc), ("start", s), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part)), ("doc_tokens", n)):
-                        cols[k].append(v)
-                    if with_ids:
-                        cols["ids"].append(np.frombuffer(part, "<u4"))
-            out = {k: pa.array(cols[k], pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-            if with_ids:
-                out["ids"] = pa.array([x.astype(np.int64) for x in cols["ids"]], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECES + (", ids array<long>" if with_ids else ""))

@@ -5,11 +5,13 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -196,6 +198,36 @@ def test_packing(spark):
     assert packing.pack(empty).count() == 0
 
 
+class _Step:
+    """Stands for a DataFrame; gives the function that would run over its batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, step, shape):
+        return step
+
+
+def test_packing_large_batches_in_little_memory(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(2_000)]
+    texts = [" ".join(rnd.choices(words, k=rnd.choice([0, 300, 900]))) for _ in range(3_000)] + [None, " ".join(words * 10)]
+    path = packing.default_tokenizer()
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    packing.encode_words(" ".join(words).encode(), path)
+    step = packing.pieces(_Step(), path)
+    tracemalloc.start()
+    got = [r for b in step(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 2 * 4_000_000 and peak < 100_000_000
+    assert sorted({r["doc_id"] for r in got}) == list(range(len(texts)))
+    for i in (0, 1, 1_500, 2_999, 3_000, 3_001):
+        own = packing.encode_words((texts[i] or "").encode(), path) + np.array([1], "<u4").tobytes()
+        parts = [r for r in got if r["doc_id"] == i]
+        assert [r["ids_crc32"] for r in parts] == [zlib.crc32(own[k : k + 4 * 2048]) for k in range(0, len(own), 4 * 2048)]
+
+
 def test_patterns():
     rnd = random.Random(7)
     for _ in range(40):
